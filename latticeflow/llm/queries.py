@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, quality, token_counts
+from . import line_dedup, packing, pii, quality, simhash, token_counts
 from ._common import Scratch
 from .vocab import ModelFile
 
@@ -33,6 +34,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -41,5 +46,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op8_personal_data, op9_best_fit_packing)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each document, by its digest, and the lines that went."""
+    kept = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="removed_lines")
+    return kept.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op7_simhash_near_duplicates, op8_personal_data, op9_best_fit_packing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
