@@ -61,11 +61,11 @@ def struct_of(schema: StructType | str) -> StructType:
     return _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
-def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], most: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` with a function of a record batch that returns columns.
 
     ``make`` runs once per task and returns the function, so that a worker's tables are built where they are
-    used. A batch is cut so that its text stays small whatever the row lengths are.
+    used. A batch is cut into parts of about ``most`` bytes, so that memory is bounded whatever the row lengths are.
     """
     struct = struct_of(schema)
     arrow = to_arrow_schema(struct)
@@ -73,7 +73,7 @@ def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in cut(batch):
+            for part in cut(batch, most):
                 for columns in work(part):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in arrow], schema=arrow)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pii, quality, simhash, token_counts
+from . import decontaminate, language_id, licenses, line_dedup, packing, pii, quality, simhash, token_counts, warc
 from ._common import Scratch
 from .vocab import ModelFile
 
@@ -34,6 +34,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item, with the item."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived records of all pages; their blocks by length and digest."""
+    return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages"))).drop("block", "headers")
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,5 +71,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op7_simhash_near_duplicates, op8_personal_data, op9_best_fit_packing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality_rules,
+        op3_benchmark_leaks,
+        op4_language_id,
+        op5_license_scan,
+        op6_warc_derivatives,
+        op7_simhash_near_duplicates,
+        op8_personal_data,
+        op9_best_fit_packing,
+        op10_line_dedup,
+    )
+}
+#: None of these can be written in SQL without its tokenizer, hash or parser; the tests hold them against plain versions.
 ORACLES: dict[str, str] = {}
