@@ -65,11 +65,8 @@ class CNClassifier(_Base):
 
     def _scored(self, frame: DataFrame) -> DataFrame:
         """``frame`` (with bins) and ``scores``, by set and then class."""
-        out, own = frame, []
-        for c in range(len(self.classes)):
-            out = look_up(out, self._fitted(), f"n{c}").withColumnRenamed("sizes", f"sizes{c}")
-            own.append(f"sizes{c}")
-        sets = F.transform(F.arrays_zip(*own), lambda h: F.array(*[h[c] for c in own]).cast("array<double>"))
+        out = look_up(frame, self._fitted(), [f"n{c}" for c in range(len(self.classes))])
+        sets = F.transform("sizes", lambda h: h.cast("array<double>"))
         share = F.transform(sets, lambda h: F.transform(h, lambda v: F.when(F.array_max(h) > 0, v / F.greatest(F.array_max(h), F.lit(1.0))).otherwise(F.lit(0.0))))
         return out.select(*frame.columns, F.flatten(share).alias("scores"))
 

@@ -108,8 +108,13 @@ def from_tuples(tuples: DataFrame, quantizer: Quantizer, sets: Sequence[FeatureS
     return out
 
 
-def look_up(frame: DataFrame, closures: Closures, count: str) -> DataFrame:
-    """``frame`` (with the bins ``b0``, ...) and ``sizes``: the count for each set in order, 0 where nothing matches."""
+def look_up(frame: DataFrame, closures: Closures, count: str | Sequence[str]) -> DataFrame:
+    """``frame`` (with the bins ``b0``, ...) and ``sizes``: the count for each set in order, 0 where nothing matches.
+
+    For several counts, ``sizes`` has an array of them for each set.
+    """
+    value = F.col(count) if isinstance(count, str) else F.array(*count)
+    nothing = F.lit(0).cast("long") if isinstance(count, str) else F.array(*[F.lit(0).cast("long") for _ in count])
     names = bin_names(closures.features)
     sets, found = closures.distinct, {}
     out = frame
@@ -117,7 +122,7 @@ def look_up(frame: DataFrame, closures: Closures, count: str) -> DataFrame:
         total = 0
         for k, s in sorted(enumerate(sets), key=lambda x: closures.rows.get(x[0], 0)):
             rows = closures.rows.get(k, 0)
-            own = closures.table.where(F.col("set_id") == k).select(*[F.col(names[i]).alias(f"k{k}_{i}") for i in s], F.col(count).alias(f"n{k}"))
+            own = closures.table.where(F.col("set_id") == k).select(*[F.col(names[i]).alias(f"k{k}_{i}") for i in s], value.alias(f"n{k}"))
             total += rows
             if rows <= BROADCAST_ROWS and total <= BROADCAST_TOTAL:
                 own = F.broadcast(own)
@@ -128,17 +133,17 @@ def look_up(frame: DataFrame, closures: Closures, count: str) -> DataFrame:
             found[s] = F.col(f"n{k}")
     elif closures.table is not None:
         probes = _exploded(frame.select(*names).distinct(), sets, names)
-        hits = probes.join(closures.table.select("set_id", "key", F.col(count).alias("__n")), ["set_id", "key"])
+        hits = probes.join(closures.table.select("set_id", "key", value.alias("__n")), ["set_id", "key"])
         maps = hits.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("set_id", "__n"))).alias("__found"))
         maps = maps.select(*[F.col(n).alias(f"p_{n}") for n in names], "__found")
         out = _on_bins(out, maps, names, "p_")
         found = {s: F.col("__found")[k] for k, s in enumerate(sets)}
     full = tuple(range(closures.features))
     if full in closures.sets:
-        own = closures.tuples.select(*[F.col(n).alias(f"f_{n}") for n in names], F.col(count).alias("__full"))
+        own = closures.tuples.select(*[F.col(n).alias(f"f_{n}") for n in names], value.alias("__full"))
         out = _on_bins(out, own, names, "f_")
         found[full] = F.col("__full")
-    sizes = F.array(*[F.coalesce(found[s], F.lit(0)).cast("long") for s in closures.sets])
+    sizes = F.array(*[F.coalesce(found[s], nothing) for s in closures.sets])
     return out.select(*frame.columns, sizes.alias("sizes"))
 
 

@@ -134,7 +134,8 @@ def from_numpy(X: np.ndarray | None, *, Xc: Any = None, y: Any = None, spark: Sp
         label = str(named.get("yname", "label"))
         columns[label] = _vector(y, rows).astype(np.int32)
     pdf = pd.DataFrame({ROW_ID: np.arange(rows, dtype=np.int64)} | columns)
-    return Dataset(_spark(spark).createDataFrame(pdf), ROW_ID, tuple(numeric), tuple(classes), label)
+    schema = ", ".join(f"`{c}` {'long' if c == ROW_ID else 'double' if c in numeric else 'int'}" for c in pdf.columns)
+    return Dataset(_spark(spark).createDataFrame(pdf, schema), ROW_ID, tuple(numeric), tuple(classes), label)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
