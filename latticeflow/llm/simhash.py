@@ -213,8 +213,9 @@ def keep_one_of_each(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, id_
     Of rows with one id, the text decides; of equal rows one stays.
     """
     _, labelled = _classes(docs, Scratch(docs.sparkSession, "simhash"), bits, shingle, id_col, text_col)
-    keep = labelled.select(F.col("least.doc_id").alias("keep_id"), F.col("least.key").alias("keep_key")).distinct()
+    id_key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     own, key = free_name(docs, "own_id"), free_name(docs, "own_key")
-    keyed = docs.withColumns({own: F.col(id_col).cast("long"), key: F.xxhash64(F.col(text_col).cast("string"))})
-    same = keyed[own].eqNullSafe(keep["keep_id"]) & (keyed[key] == keep["keep_key"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates([own, key]).drop(own, key)
+    keep = labelled.select(id_key(F.col("least.doc_id")).alias(own), F.col("least.key").alias(key)).distinct()
+    keyed = docs.withColumns({own: id_key(F.col(id_col).cast("long")), key: F.xxhash64(F.col(text_col).cast("string"))})
+    # both sides and the duplicates go by the same plain columns, so texts are shuffled once
+    return keyed.join(keep, [own, key], "left_semi").dropDuplicates([own, key]).drop(own, key)
