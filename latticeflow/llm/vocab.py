@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts that a worker remembers; beyond it the memory is emptied, which changes no result.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Longer parts aren't remembered.
 LONGEST = 64
 
