@@ -67,7 +67,7 @@ def _doc_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return work
 
-    return map_rows(rows, "doc_id long, text_key binary, line int, seq int, hash binary, words int", make)
+    return map_rows(rows, "doc_id long, text_key binary, line int, seq int, hash binary, words int", make, 4 << 20)
 
 
 def _named(rows: DataFrame, keys: list[str], scratch: Scratch, table: str) -> DataFrame:
@@ -99,16 +99,17 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
         names[k] = scratch.put(table.select("doc", "seq", "name"), f"name{k}")
         scratch.drop(f"pairs{k}", f"name{k}-shared")
     windows = scratch.put(_windows(active, min_words), "windows")
-    gone = None
+    runs = None
     for level, named in names.items():
         size = 1 << level
         own = windows.where((F.col("n") >= size) & (F.col("n") < 2 * size))
         head = own.join(named.select("doc", F.col("seq").alias("start"), F.col("name").alias("head")), ["doc", "start"])
         tail = named.select("doc", (F.col("seq") + size).alias("stop"), F.col("name").alias("tail"))
-        both = scratch.put(head.withColumn("stop", F.col("start") + F.col("n")).join(tail, ["doc", "stop"]).select("doc", "start", "n", "head", "tail"), f"runs{level}")
-        first = scratch.put(both.groupBy("n", "head", "tail").agg(F.min(F.struct("doc", "start")).alias("first")), f"intervals{level}")
-        later = both.join(first, ["n", "head", "tail"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "n")
-        gone = later if gone is None else gone.union(later)
+        both = head.withColumn("stop", F.col("start") + F.col("n")).join(tail, ["doc", "stop"]).select("doc", "start", "n", "head", "tail")
+        runs = both if runs is None else runs.union(both)
+    runs = scratch.put(runs, "runs")  # n says of which level the names are
+    first = scratch.put(runs.groupBy("n", "head", "tail").agg(F.min(F.struct("doc", "start")).alias("first")), "intervals")
+    gone = runs.join(first, ["n", "head", "tail"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "n")
     taken = gone.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("seq")).distinct()
     return taken.join(active.select("doc", "seq", "line"), ["doc", "seq"]).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines")).select("doc.doc_id", "doc.text_key", "lines")
 
@@ -162,7 +163,8 @@ def remove_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col
 
     keyed = docs.mapInArrow(digest, _with(docs, key)).withColumn(own, F.col(id_col).cast("long"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.col("lines").alias(lines))
-    marked = keyed.join(gone, keyed[own].eqNullSafe(gone["gone_id"]) & (keyed[key] == gone["gone_key"]), "left")
+    # texts are shuffled at any size, so that the cost of small inputs says what large ones take
+    marked = keyed.join(gone.hint("merge"), keyed[own].eqNullSafe(gone["gone_id"]) & (keyed[key] == gone["gone_key"]), "left")
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(split, lambda _, k: ~F.array_contains(F.col(lines), k))
     text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
