@@ -83,7 +83,7 @@ def extract(page: str) -> tuple[str, dict]:
             title = None if close else m.end()
         if not close and (name in _LINKS or name == "meta"):
             raw = attributes if attributes is not None else m[0].partition(">")[0]
-            own = {k.lower(): html.unescape(next(x for x in v if x or x == v[-1])) for k, *v in _ATTRIBUTE.findall(raw)}
+            own = {k.lower(): html.unescape("".join(v)) for k, *v in _ATTRIBUTE.findall(raw)}
             if name == "meta":
                 found["metas"].append(own)
             elif _LINKS[name] in own:
