@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -87,20 +88,34 @@ def emails(text: str, ats: list[int]) -> Iterator[Span]:
             free = end
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """The starts and ends of the stretches that the spans (by start) cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def mailboxes(text: str, ats: list[int], taken: list[Span]) -> Iterator[Span]:
     """Addresses around at-signs that no base span covers, with letters of any script."""
-    held = {at for at in ats if any(s <= at < e for s, _, e in taken)}
+    starts, ends = _merged(taken)
+    overlaps = lambda s, e: (k := bisect_left(starts, e)) > 0 and ends[k - 1] > s
     local = lambda c: c in _LOCAL or not c.isascii() and c.isalnum()
     label = lambda c: c in _LABEL or not c.isascii() and c.isalnum()
     free = 0
     for at in ats:
-        if at in held or at < free:
+        if at < free or overlaps(at, at + 1):
             continue
         start = at
         while start > free and local(text[start - 1]):
             start -= 1
         end = _domain_end(text, at + 1, label) if start < at else -1
-        if end > 0 and text[end - 1].isalpha() and not any(s < end and start < e for s, _, e in taken):
+        if end > 0 and text[end - 1].isalpha() and not overlaps(start, end):
             yield start, KINDS.index("mailbox"), end
             free = end
 
@@ -141,22 +156,31 @@ def phones(text: str) -> Iterator[Span]:
             yield m.start(), 3, m.start() + len(run)
 
 
-def address(text: str, start: int, host: int) -> Span | None:
-    """A URL from its scheme at ``start``, if it names a user or its host is a literal address."""
-    end = host
-    while end < len(text) and text[end] not in _URL_ENDS:
-        end += 1
-    while end > host and text[end - 1] in ".,;:!?)]'":
-        end -= 1
-    authority = re.split("[/?#]", text[host:end], maxsplit=1)[0]
-    user, at, name = authority.rpartition("@")
-    literal = name[1:].partition("]")[0] if name.startswith("[") else name.partition(":")[0]
-    try:
-        ipaddress.ip_address(literal)
-    except ValueError:
-        if not (at and user and name):
-            return None
-    return start, KINDS.index("address"), end
+def addresses(text: str, schemes: list[tuple[int, int]]) -> Iterator[Span]:
+    """URLs from their schemes (start, host) that name a user or whose host is a literal address.
+
+    A URL within another one ends where that one does, so its end isn't looked for again.
+    """
+    stop = 0
+    for start, host in schemes:
+        if host > stop:
+            stop = host
+            while stop < len(text) and text[stop] not in _URL_ENDS:
+                stop += 1
+        end = stop
+        while end > host and text[end - 1] in ".,;:!?)]'":
+            end -= 1
+        at = host
+        while at < end and text[at] not in "/?#":
+            at += 1
+        user, sign, name = text[host:at].rpartition("@")
+        literal = name[1:].partition("]")[0] if name.startswith("[") else name.partition(":")[0]
+        try:
+            ipaddress.ip_address(literal)
+        except ValueError:
+            if not (sign and user and name):
+                continue
+        yield start, KINDS.index("address"), end
 
 
 def _iban(value: str) -> bool:
@@ -208,7 +232,7 @@ def find(text: str, automaton) -> tuple[list[Span], list[Span]]:
             cues.append((kind, last + 1 - len(word), last + 1))
     base = sorted([*emails(text, ats), *ips(text), *cards(text), *phones(text)])
     more = [*mailboxes(text, ats, base)] if ats else []
-    more += [s for x in schemes if (s := address(text, *x))]
+    more += addresses(text, schemes)
     more += [s for x in cues if (s := account(text, *x))]
     return base, sorted({*base, *more})
 

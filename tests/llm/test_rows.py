@@ -225,3 +225,10 @@ def test_plan_equals_best_fit_over_pieces(counts):
             at += length
         assert at <= 30
     assert len(places) == best_fit([k for k, n in counts.items() for _ in range(n)], 30)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000 + "@", "a@b.cd " * 30_000, "@" * 200_000, "http://" * 40_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "ü@" * 100_000, "ssn iban " * 30_000):
+        base, every = pii.find(text, AUTOMATON)
+        assert len(base) <= len(every)
+    assert [(pii.KINDS[k], s, e) for s, k, e in pii.find("http://a.example/?u=http://u:p@b.example/c.", AUTOMATON)[1]] == [("address", 20, 42), ("email", 29, 40)]
