@@ -41,7 +41,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/latticeflow/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what exists can be marked
+        files.deleteOnExit(path)
 
     def put(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
