@@ -7,6 +7,7 @@ where that setting is absent, as in local tests.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -63,7 +64,34 @@ def struct_of(schema: StructType | str) -> StructType:
     return _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
-def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], most: int = 8 << 20) -> DataFrame:
+#: Bytes that the JVM hands to a worker at once, and of which a worker takes a part at a time.
+BATCH_BYTES, PART_BYTES = 8 << 20, 4 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` in batches bounded in bytes, as texts may be long; a worker gives its free memory back after a task.
+
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def release() -> None:
+    """Gives freed memory back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], most: int = PART_BYTES) -> DataFrame:
     """``mapInArrow`` with a function of a record batch that returns columns.
 
     ``make`` runs once per task and returns the function, so that a worker's tables are built where they are
@@ -79,10 +107,10 @@ def map_rows(df: DataFrame, schema: StructType | str, make: Callable[[], Callabl
                 for columns in work(part):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return map_batches(df, run, struct)
 
 
-def cut(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes; a slice has one row at least."""
     n = batch.num_rows
     if not n:

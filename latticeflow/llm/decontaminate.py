@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, documents, map_rows
+from ._common import cut, documents, map_batches, map_rows
 from .words import shingle_hashes, word_hashes, words_of
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -127,5 +127,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, containment: float = CO
                     clean[[r for r, _, _ in sent.value.found(pc.fill_null(text, ""))]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

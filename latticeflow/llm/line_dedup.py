@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._common import Scratch, documents, free_name, map_rows
+from ._common import Scratch, cut, documents, free_name, map_batches, map_rows
 
 #: A run with as many words is removed where it comes again.
 MIN_WORDS = 50
@@ -67,7 +67,7 @@ def _doc_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return work
 
-    return map_rows(rows, "doc_id long, text_key binary, line int, seq int, hash binary, words int", make, 4 << 20)
+    return map_rows(rows, "doc_id long, text_key binary, line int, seq int, hash binary, words int", make)
 
 
 def _named(rows: DataFrame, keys: list[str], scratch: Scratch, table: str) -> DataFrame:
@@ -157,11 +157,11 @@ def remove_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col
     key, own, lines = (free_name(docs, x) for x in ("own_key", "own_id", "gone_lines"))
 
     def digest(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut(whole)):
             text = batch.column(batch.schema.names.index(text_col)).to_pylist()
             yield batch.append_column(key, pa.array([xxhash.xxh3_128_digest(x or "") for x in text], pa.binary()))
 
-    keyed = docs.mapInArrow(digest, _with(docs, key)).withColumn(own, F.col(id_col).cast("long"))
+    keyed = map_batches(docs, digest, _with(docs, key)).withColumn(own, F.col(id_col).cast("long"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.col("lines").alias(lines))
     # texts are shuffled at any size, so that the cost of small inputs says what large ones take
     marked = keyed.join(gone.hint("merge"), keyed[own].eqNullSafe(gone["gone_id"]) & (keyed[key] == gone["gone_key"]), "left")

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, documents, map_rows
+from ._common import cut, documents, map_batches, map_rows
 from .vocab import ModelFile
 
 
@@ -225,4 +225,4 @@ def keep_quality(docs: DataFrame, model: ModelFile, *, lang_col: str | None = "l
                 languages = part.column(names.index(lang_col)).to_pylist() if lang_col in names else [None] * part.num_rows
                 yield part.filter(pa.array(judge(_clean(text), languages, encoder)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

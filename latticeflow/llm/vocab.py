@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts that a worker remembers; beyond it the memory is emptied, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Longer parts aren't remembered.
 LONGEST = 64
 
@@ -38,9 +38,10 @@ class ModelFile:
         self.version = hashlib.sha256(self.data + f"|{library.__name__}|{library.__version__}".encode()).hexdigest()
 
     def load(self):
-        """The encoder, one for each worker process."""
+        """The encoder; a worker process keeps the last one."""
         key = (self.kind, self.version)
         if key not in _LOADED:
+            _LOADED.clear()
             _LOADED[key] = PieceEncoder(self.data) if self.kind == "piece" else WordEncoder(self.data)
         return _LOADED[key]
 
