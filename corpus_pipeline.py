@@ -28,8 +28,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash links."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each component of links: fingerprints within three bits, or five-word shingles with Jaccard 0.8."""
+    return simhash.keep_one_of_each(docs, similarity=0.8)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,10 +17,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from ._common import Scratch, documents, free_name, map_rows
 from .components import components
 
@@ -50,18 +52,19 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``key`` (of the text) and ``fp`` (as a signed long) of each row."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, bands: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``key`` (of the text) and ``fp`` (as a signed long) of each row; with ``bands``, those of its five-word shingles."""
     rows = documents(docs, F.xxhash64(F.col(text_col).cast("string")).alias("key"), id_col=id_col, text_col=text_col)
 
     def make():
         def work(batch):
             found = np.array([fingerprint(x or "", shingle) for x in batch.column("text").to_pylist()], np.uint64)
-            yield {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": found.view(np.int64)}
+            more = {"bands": resemblance.bands_of(pc.fill_null(batch.column("text"), ""))} if bands else {}
+            yield {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": found.view(np.int64), **more}
 
         return work
 
-    return map_rows(rows, "doc_id long, key long, fp long", make)
+    return map_rows(rows, "doc_id long, key long, fp long" + (", bands array<long>" if bands else ""), make)
 
 
 def _grid(fps: DataFrame) -> DataFrame:
@@ -184,12 +187,15 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return _grid(fps).repartition(tasks, "cell").mapInArrow(run, schema)
 
 
-def _classes(docs: DataFrame, scratch: Scratch, bits: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, scratch: Scratch, bits: int, shingle: int, id_col: str, text_col: str, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """All rows' fingerprints, and for each distinct one the least row of its component: its id (nulls last) and key."""
-    rows = scratch.put(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+    rows = scratch.put(fingerprints(docs, shingle=shingle, bands=similarity is not None, id_col=id_col, text_col=text_col), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least")
     classes = scratch.put(rows.groupBy("fp").agg(least), "classes")
     members = components(scratch.put(links(classes.select("fp"), bits), "links"), scratch)
+    if similarity is not None:
+        texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+        members = scratch.put(resemblance.link(members, rows, texts, similarity=similarity), "resembling")
     members = scratch.put(members.join(classes, members["node"] == classes["fp"]).select("fp", "root", "least"), "members")
     roots = scratch.put(members.groupBy("root").agg(F.min("least").alias("best")), "roots")
     linked = scratch.put(members.join(roots, "root").select("fp", "best"), "linked")
@@ -207,12 +213,13 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, id_c
     return rows.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: that of the smallest id (nulls last).
 
-    Of rows with one id, the text decides; of equal rows one stays.
+    With ``similarity``, texts whose sets of five-word shingles have that Jaccard are linked too. Of rows with one id,
+    the text decides; of equal rows one stays.
     """
-    _, labelled = _classes(docs, Scratch(docs.sparkSession, "simhash"), bits, shingle, id_col, text_col)
+    _, labelled = _classes(docs, Scratch(docs.sparkSession, "simhash"), bits, shingle, id_col, text_col, similarity)
     id_key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     own, key = free_name(docs, "own_id"), free_name(docs, "own_key")
     keep = labelled.select(id_key(F.col("least.doc_id")).alias(own), F.col("least.key").alias(key)).distinct()

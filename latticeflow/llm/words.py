@@ -21,8 +21,13 @@ def normalised(texts: pa.Array) -> pa.Array:
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words, each word's index among them, and where each text's words begin and end."""
-    lists = pc.ascii_split_whitespace(normalised(texts))
+    """The distinct normalised words, each word's index among them, and where each text's words begin and end."""
+    return coded_words(normalised(texts))
+
+
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same of the words as they are."""
+    lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     bounds = lists.offsets.to_numpy().astype(np.int64)
