@@ -7,12 +7,15 @@ that are unique within them. A template's coverage is the share of its words tha
 Which templates to align, and where, follows from a bound that loses nothing: coverage ``t`` needs ``t`` of the
 template's words, thus all but ``(1 - t) * words`` of its distinct words. Of a text that has so many, all windows of
 twice the template's length with so many are aligned; each copy up to its template's length and its slack lies in one.
+Copies close together leave few words unique in such a window. Where it gives nothing, or a match longer than a copy,
+narrower windows are aligned, from each place where a copy may begin by the rarest of its words; what is left on both
+sides of a match is looked through again.
 One-line statements must be there in full and without other words between; a line within a longer match of the same
 licence goes.
 
 Defined results: words are compared in lower case without ASCII signs; null and empty texts have no licence; of
 overlapping matches the one with more aligned words stays, then the one with more coverage, then the first in the
-list; null ids and repeated rows pass through; an empty table gives an empty result; other columns are ignored.
+list, then the shorter; null ids and repeated rows pass through; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,24 +120,54 @@ def scan(words: Sequence[str], template: Template) -> list[tuple[int, int, int]]
         first = template.words[0]
         return [(size, k, k + size) for k in places if words[k] == first and list(words[k : k + size]) == template.words]
     step = size + size // 4 + 8
-    starts = sorted({k // step * step for k in places} | {max(0, k // step * step - step) for k in places})
-    for start in starts:
-        part = words[start : start + 2 * step]
+    todo = [(k, min(k + 2 * step, len(words))) for k in sorted({k // step * step for k in places} | {max(0, k // step * step - step) for k in places})]
+    tried = set()
+    while todo:
+        low, high = todo.pop()
+        if (low, high) in tried:
+            continue
+        tried.add((low, high))
+        part = words[low:high]
         if len(template.distinct.intersection(part)) < template.needed:
             continue
-        pairs = align(template.words, part)
-        if pairs and len(pairs) >= template.least * size - 1e-9:
-            out.append((len(pairs), start + pairs[0][1], start + pairs[-1][1] + 1))
-    return out
+        one = _aligned(words, template, low, high)
+        found = [one] if one else []
+        if not one or one[2] - one[1] > step:  # nothing, or maybe the words of several copies
+            near = [x for k in _starts(part, template, step - size) if (x := _aligned(words, template, max(low, low + k - (step - size)), min(high, low + k + step)))]
+            found = [x for x in near if x[2] - x[1] <= step] or found
+        out += found
+        for _, s, e in found:
+            todo += [(low, s), (e, high)]
+    return sorted(set(out))
+
+
+def _aligned(words: Sequence[str], template: Template, low: int, high: int) -> tuple[int, int, int] | None:
+    """Aligned words, first word and end of the template's alignment with a stretch, if it covers enough."""
+    pairs = align(template.words, words[low:high])
+    if not pairs or len(pairs) < template.least * len(template.words) - 1e-9:
+        return None
+    return len(pairs), low + pairs[0][1], low + pairs[-1][1] + 1
+
+
+def _starts(part: Sequence[str], template: Template, slack: int) -> list[int]:
+    """Where copies may begin: by the places of the rarest template words, of which a copy has one; half the slack apart."""
+    counts = Counter(part)
+    rare = set(sorted(template.distinct, key=lambda w: (counts[w], w))[: len(template.distinct) - template.needed + 1])
+    own: dict[str, list[int]] = {}
+    for k, w in enumerate(template.words):
+        if w in rare:
+            own.setdefault(w, []).append(k)
+    wide = max(1, slack // 2)
+    return sorted({(k - x) // wide * wide for k, w in enumerate(part) if w in rare for x in own[w]})
 
 
 def find(words: Sequence[str], candidates: Sequence[Template]) -> list[tuple[str, float, int, int]]:
     """Licences in a text's words: name, coverage, first word, end; matches don't overlap."""
     found = []
     for order, template in enumerate(candidates):
-        found += [(-n, -n / len(template.words), order, s, e, template.license) for n, s, e in scan(words, template)]
+        found += [(-n, -n / len(template.words), order, e - s, s, e, template.license) for n, s, e in scan(words, template)]
     kept: list[tuple[str, float, int, int]] = []
-    for _, coverage, _, s, e, name in sorted(found):
+    for _, coverage, _, _, s, e, name in sorted(found):
         if all(e <= a or b <= s for _, _, a, b in kept):
             kept.append((name, -coverage, s, e))
     return sorted(kept, key=lambda x: x[2])
