@@ -37,6 +37,8 @@ _URL_ENDS = frozenset(" \t\n\r\x0b\x0c\"'<>`{}|\\^")
 _SCHEMES = ("http://", "https://", "ftp://", "ftps://", "sftp://", "ssh://", "ldap://", "smb://")
 #: Words that announce an identifier, and what it must look like.
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "passport": "number", "account number": "number", "account no": "number", "acct no": "number", "customer id": "number", "driver's license": "number", "tax id": "number"}
+#: Words that may stand between a cue and its identifier, and how many of them.
+_LINKS, _MOST_LINKS = frozenset(("number", "num", "no", "nr", "id", "code", "is", "was", "of")), 4
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
@@ -49,7 +51,8 @@ def _automaton() -> ahocorasick.Automaton:
         for x in {word, word.upper(), word.capitalize()}:
             found.add_word(x, ("scheme", word))
     for word, kind in _CUES.items():
-        for x in {word, word.upper(), word.capitalize(), word.title()}:
+        heads = " ".join(x.upper() if x == "id" else x.capitalize() for x in word.split())
+        for x in {word, word.upper(), word.capitalize(), word.title(), heads}:
             found.add_word(x, (kind, word))
     found.make_automaton()
     return found
@@ -189,22 +192,55 @@ def _iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def account(text: str, kind: str, cue: int, at: int) -> Span | None:
-    """An identifier that follows a cue within a few signs, by the rules of its kind."""
+def _value_start(text: str, at: int) -> int:
+    """Where the value after a cue begins: past signs and up to ``_MOST_LINKS`` link words ("number is")."""
+    for left in range(_MOST_LINKS, -1, -1):
+        start = at
+        while start < len(text) and start - at < 12 and text[start] in " .:#=-()":
+            start += 1
+        end = start
+        while end < len(text) and end - start < 8 and text[end].isalpha():
+            end += 1
+        if not left or text[start:end].lower() not in _LINKS or end < len(text) and text[end].isalnum():
+            break
+        at = end
+    return start
+
+
+class Runs:
+    """ASCII letters and digits joined by single hyphens, each run read once: cues may be many within one."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.digits = text, 0, 0, []
+
+    def end_of(self, start: int) -> tuple[int, int]:
+        """The end of the run from ``start`` and its digits."""
+        if not self.start <= start < self.end:
+            text, end = self.text, start
+            while end < len(text) and text[end].isascii() and (text[end].isalnum() or text[end] == "-" and end > start and text[end - 1] != "-"):
+                end += 1
+            self.start, self.end = start, end
+            self.digits = [k for k in range(start, end) if text[k] in _DIGIT]
+        end = self.end
+        while end > start and self.text[end - 1] == "-":
+            end -= 1
+        return end, len(self.digits) - bisect_left(self.digits, start)
+
+
+def account(text: str, kind: str, cue: int, at: int, runs: Runs) -> Span | None:
+    """An identifier that follows a cue within a few signs and link words, by the rules of its kind."""
     if cue and text[cue - 1].isalnum() or at < len(text) and text[at].isalnum():
         return None
-    start = at
-    while start < len(text) and start - at < 12 and text[start] in " .:#=-":
-        start += 1
-    end, digits, gap = start, 0, 0
+    start = _value_start(text, at)
+    if kind == "number":
+        end, digits = runs.end_of(start)
+        return (start, KINDS.index("account"), end) if digits >= 6 and text[start].isalnum() else None
+    end, gap = start, 0
     most = 42 if kind == "iban" else 24
     while end < len(text) and end - start < most and text[end].isascii() and (text[end].isalnum() or text[end] in " -"):
-        if text[end] in " -":
-            gap += 1
-            if gap > 1 or kind == "number" and text[end] == " ":
-                break
-        else:
-            gap = 0
+        gap = gap + 1 if text[end] in " -" else 0
+        if gap > 1:
+            break
         end += 1
     value = text[start:end].rstrip(" -")
     if kind == "iban":
@@ -213,11 +249,8 @@ def account(text: str, kind: str, cue: int, at: int) -> Span | None:
             if _iban("".join(parts[:k]).replace("-", "").upper()):
                 return start, KINDS.index("account"), start + len(" ".join(parts[:k]))
         return None
-    if kind == "ssn":
-        m = re.match(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![0-9])", value)
-        return (start, KINDS.index("account"), start + m.end()) if m and m[0][:3] not in ("000", "666") and m[0][0] != "9" else None
-    digits = sum(c in _DIGIT for c in value)
-    return (start, KINDS.index("account"), start + len(value)) if digits >= 6 and value[:1].isalnum() else None
+    m = re.match(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![0-9])", value)
+    return (start, KINDS.index("account"), start + m.end()) if m and m[0][:3] not in ("000", "666") and m[0][0] != "9" else None
 
 
 def find(text: str, automaton) -> tuple[list[Span], list[Span]]:
@@ -233,7 +266,8 @@ def find(text: str, automaton) -> tuple[list[Span], list[Span]]:
     base = sorted([*emails(text, ats), *ips(text), *cards(text), *phones(text)])
     more = [*mailboxes(text, ats, base)] if ats else []
     more += addresses(text, schemes)
-    more += [s for x in cues if (s := account(text, *x))]
+    runs = Runs(text)
+    more += [s for x in cues if (s := account(text, *x, runs))]
     return base, sorted({*base, *more})
 
 
