@@ -49,8 +49,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived records of all pages; their blocks by length and digest."""
-    return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages"))).drop("block", "headers")
+    """The derived records of all pages, with their blocks (text, or source headers and links) and headers as JSON."""
+    return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages"))).withColumn("headers", F.to_json("headers"))
 
 
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ and payload digest; each has a block digest of its own. Record ids are name-base
 run gives the same records. Nothing is shuffled.
 
 Defined results: a null or empty block gives records with empty text; a null URI, date or header map is left out of
-the headers; a block without an HTTP head is all payload; bytes that the charset doesn't know become U+FFFD; repeated
+the headers; a block without an HTTP head is all payload; chunked, gzip and deflate payloads are undone for the text and
+the links, other codings are not; bytes that the charset doesn't know become U+FFFD; repeated
 rows give repeated records with equal ids; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,17 +53,68 @@ def name_of(kind: str, source: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
 
 
-def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers (lower-case names, the last of a name counts) and payload of an HTTP response."""
+def http_parts(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
+    """Status line, headers (lower-case names; a list of the values of a name that comes again) and payload."""
     if not block.startswith(b"HTTP/"):
         return "", {}, block
     head, _, payload = block.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
-
-
-def decoded(payload: bytes, headers: dict[str, str]) -> str:
-    charset = re.search(r"charset=[\"']?([-\w]+)", headers.get("content-type", ""))
+    every: dict[str, list[str]] = {}
+    for name, _, value in (x.partition(":") for x in lines):
+        every.setdefault(name.strip().lower(), []).append(value.strip())
+    return first, {k: v[0] if len(v) == 1 else v for k, v in every.items()}, payload
+
+
+def _values(headers: dict[str, str | list[str]], name: str) -> list[str]:
+    found = headers.get(name, [])
+    return [found] if isinstance(found, str) else found
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The data of a chunked payload; what isn't chunked, as crawlers often store it, stays."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        size = payload[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else payload
+
+
+def _inflated(payload: bytes) -> bytes:
+    """The content of a gzip or deflate payload, as far as it goes; what isn't one stays."""
+    for bits in (47, -15):  # gzip or zlib by its head, then bare deflate
+        out, rest = [], payload
+        try:
+            while rest:
+                part = zlib.decompressobj(bits)
+                out.append(part.decompress(rest))
+                rest = part.unused_data if part.eof and bits == 47 else b""
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return payload
+
+
+def content(payload: bytes, headers: dict[str, str | list[str]]) -> bytes:
+    """The payload without its transfer and content codings (chunked, gzip, deflate)."""
+    codings = [x.strip().lower() for name in ("content-encoding", "transfer-encoding") for v in _values(headers, name) for x in v.split(",")]
+    for coding in reversed(codings):
+        if coding == "chunked":
+            payload = _unchunked(payload)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            payload = _inflated(payload)
+    return payload
+
+
+def decoded(payload: bytes, headers: dict[str, str | list[str]]) -> str:
+    charset = re.search(r"charset=[\"']?([-\w]+)", ", ".join(_values(headers, "content-type")))
+    payload = content(payload, headers)
     try:
         return payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
@@ -154,14 +207,16 @@ def write_records(records: DataFrame, path: str, compression: str = "none") -> N
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, plain or compressed."""
+    """Headers (the values of a repeated one joined by commas) and block of each record of a WARC file, plain or compressed."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", start)
         lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        headers: dict[str, str] = {}
+        for name, _, value in (x.partition(":") for x in lines):
+            headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
         size = int(headers.get("Content-Length", 0))
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size
