@@ -3,7 +3,8 @@
 A text's key is the SHA-256 of its normalised content (null reads as the empty text; nothing else may change, as
 every byte counts); a tokenizer's key is the SHA-256 of its file and library version. Counts are kept in a Parquet
 table partitioned by tokenizer. A call joins the documents' digests to the stored counts, encodes one text for
-each digest that is missing, appends those counts, and joins them back. One writer at a time may use a cache.
+each digest that is missing, appends those counts, and joins them back. A digest may be stored more than once, as two
+writers at a time or a replayed append leave it; it counts once.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a null ``doc_id`` and repeated rows pass through,
 one result row for each input row; an empty table gives an empty result; other columns are ignored.
@@ -27,12 +28,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def stored(docs: DataFrame, cache: str, version: str) -> DataFrame:
-    """The counts that the cache has for a tokenizer version; none if the cache doesn't exist yet."""
+    """The counts that the cache has for a tokenizer version, a row for each digest; none if the cache doesn't exist yet."""
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "digest binary, n_tokens long")
-    return spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    return spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, model: ModelFile, cache: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
