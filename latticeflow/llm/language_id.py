@@ -2,15 +2,16 @@
 
 Features are the 1- to 3-grams of the lower-cased letters of a whole text, with every other sign as a space, hashed
 into ``BUCKETS`` buckets. The model is a matrix of log-probabilities (languages by buckets), fitted on the labelled
-rows that aren't held out and broadcast; its size doesn't depend on the corpus. A batch of texts is scored as one
-sparse product: the matrix's columns of all n-grams, summed by text.
+rows that aren't held out and broadcast; its size doesn't depend on the corpus: over ``LANGUAGES`` languages are
+refused. A batch of texts is scored as one sparse product: the matrix's columns of all n-grams, summed by text.
 
 Fitted is on a bounded sample: about ``SAMPLE`` rows of each language (all rows of a rarer one), chosen by a hash of
 the id. Held out are the rows with ``crc32(doc_id) mod 4 = 2``.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0, as all are where nothing is
 labelled; equal scores go to the first language in code order; rows with a null id are held out; repeated rows
-count as often as they come; an empty table gives an empty result; other columns are ignored.
+count as often as they come; an empty table gives an empty result; other columns are ignored. A label column with over
+``LANGUAGES`` values isn't one of languages, and ``fit`` raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from ._common import cut, documents, map_rows
 
 BUCKETS = 1 << 16
 SAMPLE = 4000
+#: With so many languages the matrix has 67 MB.
+LANGUAGES = 128
 #: Text taken at once; the arrays of its n-grams take some fifty times as much.
 PART_BYTES = 1 << 20
 _ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -98,7 +101,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, *, sample: int = SAMPLE, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """The model of the labelled rows that aren't held out; to the driver come its languages times ``BUCKETS`` counts."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"the label column has over {LANGUAGES} values")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS + 1)), np.zeros(0))
