@@ -2,12 +2,13 @@
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``; the driver and all
 executors reach it, so a lost executor costs a re-read and nothing more. A folder of our own is made only
-where that setting is absent, as in local tests.
+in local mode without that setting, as in tests; a cluster without a shared folder is refused.
 """
 
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,10 +24,13 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="latticeflow-")
     return _OWN[app]
