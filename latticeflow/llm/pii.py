@@ -6,7 +6,9 @@ backtracks, so a text of any length takes linear time.
 
 Kinds in the order of the list: ``email``, ``ip``, ``card``, ``phone`` (the base kinds, by fixed grammars), then what
 only the method finds: ``mailbox`` (an address with letters beyond ASCII), ``address`` (a URL with a user in it or
-with a literal host address) and ``account`` (an identifier after a cue: IBAN, social security and other numbers).
+with a literal host address), ``account`` (an identifier after a cue: IBAN, social security and other numbers) and
+``secret`` (a token, key or password that a cue assigns, or a token that its own prefix names). Cues are found in any
+case. A value is taken whole or not at all: what goes on beyond the form of its kind is no value of it.
 
 Defined results: a null text is empty and has no spans; null ids and repeated rows pass through; an empty table
 gives an empty result; other columns are ignored. Positions are code points, ends exclusive.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from ._common import documents, map_rows, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "mailbox", "address", "account")
+KINDS = (*BASE, "mailbox", "address", "account", "secret")
 Span = tuple[int, int, int]  # start, index of the kind, end
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,27 +39,44 @@ _URL_ENDS = frozenset(" \t\n\r\x0b\x0c\"'<>`{}|\\^")
 _SCHEMES = ("http://", "https://", "ftp://", "ftps://", "sftp://", "ssh://", "ldap://", "smb://")
 #: Words that announce an identifier, and what it must look like.
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "passport": "number", "account number": "number", "account no": "number", "acct no": "number", "customer id": "number", "driver's license": "number", "tax id": "number"}
+#: Words to which secrets are assigned: long random ones, and ones that people choose.
+_CUES |= dict.fromkeys(("token", "secret", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "secret key", "secret_key", "private key", "private_key", "auth_token", "access_token", "client_secret", "bearer"), "token")
+_CUES |= dict.fromkeys(("password", "passwd", "passphrase", "pwd"), "password")
+#: How well-known tokens begin, and what follows. Fixed values.
+_PREFIXES = {"akia": r"AKIA[0-9A-Z]{16}", "ghp_": r"ghp_[0-9A-Za-z]{36}", "xoxb-": r"xoxb-[0-9]+-[0-9]+-[0-9A-Za-z]{16,}", "sk_live_": r"sk_live_[0-9A-Za-z]{16,}", "-----begin ": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"}
+_TOKENS = {k: re.compile(v + r"(?![0-9A-Za-z])") for k, v in _PREFIXES.items()}
 #: Words that may stand between a cue and its identifier, and how many of them.
 _LINKS, _MOST_LINKS = frozenset(("number", "num", "no", "nr", "id", "code", "is", "was", "of")), 4
+_LONGEST_LINK = max(map(len, _LINKS))
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
+_SSN = re.compile(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?!-?[0-9A-Za-z])")
+_ASSIGNED = re.compile(r"[\"'\]]?[ \t]*(?:[:=]+>?|\bis\b)[ \t]*[\"'`]?")
+_TOKEN = re.compile(r"[A-Za-z0-9_.+/~-]+={0,2}")
+_CHOSEN = re.compile(r"[^\s\"'`,;<>]+")
+_IBAN_MOST = 34  # letters and digits, by the standard
 
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     found.add_word("@", ("at", ""))
     for word in _SCHEMES:
-        for x in {word, word.upper(), word.capitalize()}:
-            found.add_word(x, ("scheme", word))
+        found.add_word(word, ("scheme", word))
     for word, kind in _CUES.items():
-        heads = " ".join(x.upper() if x == "id" else x.capitalize() for x in word.split())
-        for x in {word, word.upper(), word.capitalize(), word.title(), heads}:
-            found.add_word(x, (kind, word))
+        found.add_word(word, (kind, word))
+    for word in _PREFIXES:
+        found.add_word(word, ("prefix", word))
     found.make_automaton()
     return found
 
 
+def _lower(text: str) -> str:
+    """In lower case, with as many characters."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _label_end(text: str, at: int, label) -> int:
     n = len(text)
     while at < n and label(text[at]):
@@ -196,10 +215,10 @@ def _value_start(text: str, at: int) -> int:
     """Where the value after a cue begins: past signs and up to ``_MOST_LINKS`` link words ("number is")."""
     for left in range(_MOST_LINKS, -1, -1):
         start = at
-        while start < len(text) and start - at < 12 and text[start] in " .:#=-()":
+        while start < len(text) and text[start] in " .:#=-()":
             start += 1
         end = start
-        while end < len(text) and end - start < 8 and text[end].isalpha():
+        while end < len(text) and end - start <= _LONGEST_LINK and text[end].isalpha():
             end += 1
         if not left or text[start:end].lower() not in _LINKS or end < len(text) and text[end].isalnum():
             break
@@ -235,28 +254,71 @@ def account(text: str, kind: str, cue: int, at: int, runs: Runs) -> Span | None:
     if kind == "number":
         end, digits = runs.end_of(start)
         return (start, KINDS.index("account"), end) if digits >= 6 and text[start].isalnum() else None
-    end, gap = start, 0
-    most = 42 if kind == "iban" else 24
-    while end < len(text) and end - start < most and text[end].isascii() and (text[end].isalnum() or text[end] in " -"):
-        gap = gap + 1 if text[end] in " -" else 0
-        if gap > 1:
-            break
-        end += 1
-    value = text[start:end].rstrip(" -")
     if kind == "iban":
-        parts = value.split(" ")
-        for k in range(len(parts), 0, -1):
-            if _iban("".join(parts[:k]).replace("-", "").upper()):
-                return start, KINDS.index("account"), start + len(" ".join(parts[:k]))
+        end = _iban_end(text, start)
+        return (start, KINDS.index("account"), end) if end else None
+    m = _SSN.match(text, start)
+    return (start, KINDS.index("account"), m.end()) if m and m[0][:3] not in ("000", "666") and m[0][0] != "9" else None
+
+
+def _iban_end(text: str, start: int) -> int:
+    """The end of the longest valid IBAN from ``start`` that ends with a word, or 0; single blanks and hyphens may part it."""
+    ends, held, at = [], 0, start
+    while at < len(text) and held <= _IBAN_MOST and text[at].isascii():
+        if text[at].isalnum():
+            held += 1
+        elif text[at] in " -" and at > start and text[at - 1].isalnum():
+            ends.append(at)
+        else:
+            break
+        at += 1
+    if held <= _IBAN_MOST and at > start and text[at - 1].isalnum() and (at == len(text) or not text[at].isalnum()):
+        ends.append(at)
+    return next((e for e in reversed(ends) if _iban(text[start:e].replace(" ", "").replace("-", "").upper())), 0)
+
+
+class Chosen:
+    """What follows the cue of a password up to white space, a quote or a comma; each run is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, 0, 0
+
+    def end_of(self, start: int) -> int:
+        if not self.start <= start < self.end:
+            m = _CHOSEN.match(self.text, start)
+            self.start, self.end = start, m.end() if m else start
+        return self.end
+
+
+def secret(text: str, kind: str, cue: int, at: int, chosen: Chosen) -> Span | None:
+    """A secret that is assigned to a cue ("token = ...") or that a prefix begins.
+
+    A random one has 16 characters or more with a letter and a digit among them; a chosen one has six or more and, if it
+    isn't in quotes, a digit.
+    """
+    if cue and text[cue - 1].isalnum():
+        return None
+    if kind == "prefix":
+        m = _TOKENS[text[cue:at].lower()].match(text, cue)
+        return (cue, KINDS.index("secret"), m.end()) if m else None
+    sign = _ASSIGNED.match(text, at)
+    if not sign and not (text[cue:at].lower() == "bearer" and text.startswith(" ", at)):
         return None
-    m = re.match(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![0-9])", value)
-    return (start, KINDS.index("account"), start + m.end()) if m and m[0][:3] not in ("000", "666") and m[0][0] != "9" else None
+    start = sign.end() if sign else at + 1
+    if kind == "token":
+        m = _TOKEN.match(text, start)
+        value = m[0].rstrip(".") if m else ""
+        real = len(value) >= 16 and any(c in _DIGIT for c in value) and any(c.isalpha() for c in value)
+    else:
+        value = text[start : chosen.end_of(start)]
+        real = len(value) >= 6 and (text[start - 1] in "\"'`" or any(c in _DIGIT for c in value))
+    return (start, KINDS.index("secret"), start + len(value)) if real else None
 
 
 def find(text: str, automaton) -> tuple[list[Span], list[Span]]:
     """The base spans and all spans of a text, each by start and kind."""
     ats, schemes, cues = [], [], []
-    for last, (kind, word) in automaton.iter(text):
+    for last, (kind, word) in automaton.iter(_lower(text)):
         if kind == "at":
             ats.append(last)
         elif kind == "scheme":
@@ -266,8 +328,8 @@ def find(text: str, automaton) -> tuple[list[Span], list[Span]]:
     base = sorted([*emails(text, ats), *ips(text), *cards(text), *phones(text)])
     more = [*mailboxes(text, ats, base)] if ats else []
     more += addresses(text, schemes)
-    runs = Runs(text)
-    more += [s for x in cues if (s := account(text, *x, runs))]
+    runs, chosen = Runs(text), Chosen(text)
+    more += [s for x in cues if (s := secret(text, *x, chosen) if x[0] in ("token", "password", "prefix") else account(text, *x, runs))]
     return base, sorted({*base, *more})
 
 
@@ -276,22 +338,23 @@ def joined(spans: list[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the counts of the base kinds, the SHA-256 of the base spans, and all spans of each row."""
+    """``doc_id``, the counts of the base kinds, the SHA-256 of the base spans, all spans and their number in each row."""
     none = hashlib.sha256(b"").hexdigest()
 
     def make():
         automaton = _automaton()
 
         def work(batch):
-            counts, digests, spans = [], [], []
+            counts, digests, spans, total = [], [], [], []
             for text in texts_of(batch):
                 base, every = find(text, automaton)
                 counts.append([sum(k == x for _, k, _ in base) for x in range(4)] if base else (0, 0, 0, 0))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest() if base else none)
                 spans.append(joined(every))
+                total.append(len(every))
             n = np.array(counts, np.int64).reshape(-1, 4)
-            yield {"doc_id": batch.column("doc_id"), "base_sha256": digests, "spans": spans} | {f"n_{k}": n[:, i] for i, k in enumerate(BASE)}
+            yield {"doc_id": batch.column("doc_id"), "base_sha256": digests, "spans": spans, "n_spans": np.array(total, np.int64)} | {f"n_{k}": n[:, i] for i, k in enumerate(BASE)}
 
         return work
 
-    return map_rows(documents(docs, id_col=id_col, text_col=text_col), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
+    return map_rows(documents(docs, id_col=id_col, text_col=text_col), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", make)
