@@ -50,9 +50,10 @@ class Scratch:
         files.mkdirs(path)  # only what exists can be marked
         files.deleteOnExit(path)
 
-    def put(self, df: DataFrame, table: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        df.write.mode("overwrite").parquet(path)
+    def put(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
+        """``df`` as it was written; with ``by``, a folder for each value of that column."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{table}")
         return self.get(table, df.schema)
 
     def get(self, table: str, schema: StructType) -> DataFrame:
