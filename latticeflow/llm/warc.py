@@ -9,12 +9,15 @@ Defined results: a null or empty block gives records with empty text; a null URI
 the headers; a block without an HTTP head is all payload; chunked, gzip and deflate payloads are undone for the text and
 the links, other codings are not; bytes that the charset doesn't know become U+FFFD; repeated
 rows give repeated records with equal ids; an empty table gives an empty result; other columns are ignored.
+Of files: header names go by their lower case (kept as the standard writes them); lines that go on with a blank belong to
+the one before; a record that ends before its length, or within its head, is kept as far as it goes and has
+``WARC-Truncated: length`` added; one with a length that goes over the next ones takes them in; a record with no length or
+one that isn't a number ends where the next one begins; what is no record at all is skipped.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
@@ -26,8 +29,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import map_rows
+from ._common import cut, map_batches, map_rows, struct_of
 
 RESPONSES = "page_id long, record_id string, target_uri string, warc_date string, headers map<string,string>, block binary"
 RECORDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, headers map<string,string>, block string"
@@ -41,6 +45,11 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z][-a-zA-Z0-9:_]*)\s*=\s*(?:\"([^\"]*)\"|'([^']
 #: Elements that begin and end a line. Fixed values.
 _BLOCKS = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src"}
+#: The header names that the module reads, as the standard writes them, by lower case. Fixed values.
+_NAMES = {x.lower(): x for x in "WARC-Type WARC-Record-ID WARC-Date WARC-Target-URI WARC-Payload-Digest WARC-Block-Digest WARC-Refers-To WARC-Concurrent-To WARC-Truncated Content-Length Content-Type".split()}
+#: What a record begins with, and what says so of the rest.
+_MARK, _VERSION = "WARC/", re.compile(rb"[0-9]+\.[0-9]+\r?\n(?=[!-9;-~]+[ \t]*:)")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -57,12 +66,26 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
     """Status line, headers (lower-case names; a list of the values of a name that comes again) and payload."""
     if not block.startswith(b"HTTP/"):
         return "", {}, block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    head, payload = _head(block)
+    first, _, lines = head.partition("\n")
     every: dict[str, list[str]] = {}
-    for name, _, value in (x.partition(":") for x in lines):
-        every.setdefault(name.strip().lower(), []).append(value.strip())
-    return first, {k: v[0] if len(v) == 1 else v for k, v in every.items()}, payload
+    for name, value in _fields(lines):
+        every.setdefault(name.lower(), []).append(value)
+    return first.rstrip("\r"), {k: v[0] if len(v) == 1 else v for k, v in every.items()}, payload
+
+
+def _head(data: bytes) -> tuple[str, bytes]:
+    """The lines up to the first empty one, and what follows it."""
+    end = _HEAD_END.search(data)
+    return (data[: end.start()].decode("utf-8", "replace"), data[end.end() :]) if end else (data.decode("utf-8", "replace"), b"")
+
+
+def _fields(lines: str) -> Iterator[tuple[str, str]]:
+    """Names and values of header lines; lines without a colon are skipped."""
+    for line in re.sub(r"\r?\n[ \t]+", " ", lines).splitlines():
+        name, colon, value = line.partition(":")
+        if colon and name.strip():
+            yield name.strip(), value.strip()
 
 
 def _values(headers: dict[str, str | list[str]], name: str) -> list[str]:
@@ -206,39 +229,115 @@ def write_records(records: DataFrame, path: str, compression: str = "none") -> N
     records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+class Records:
+    """Puts records together from the pieces between marks; a mark within a line or a block joins what it parted."""
+
+    def __init__(self) -> None:
+        self.data = bytearray()
+        self.open = False  # a record has begun
+        self.headers: dict[str, str] | None = None  # once its head is complete
+        self.size: int | None = None
+
+    def add(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """What is complete now that ``piece`` follows a mark."""
+        version = _VERSION.match(piece)
+        short = self.size is not None and len(self.data) < self.size
+        if self.open and (short or not version or not self.data.endswith(b"\n")):
+            self.data += _MARK.encode() + piece
+        else:
+            yield from self.end()
+            if not version:
+                return
+            self.open, self.data = True, bytearray(piece[version.end() :])
+        if self.headers is None and (end := _HEAD_END.search(self.data)):
+            self._read_head(bytes(self.data[: end.start()]))
+            del self.data[: end.end()]
+
+    def _read_head(self, head: bytes) -> None:
+        self.headers = {}
+        for name, value in _fields(head.decode("utf-8", "replace")):
+            name = _NAMES.get(name.lower(), name)
+            self.headers[name] = f"{self.headers[name]}, {value}" if name in self.headers else value
+        length = self.headers.get("Content-Length", "").partition(",")[0].strip()
+        self.size = int(length) if re.fullmatch("[0-9]{1,18}", length) else None
+
+    def end(self, broken: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The record at hand, which nothing follows."""
+        if self.open:
+            if self.headers is None:  # it broke off in its head
+                self._read_head(bytes(self.data))
+                self.data.clear()
+                broken = True
+            if broken or self.size is not None and len(self.data) < self.size:
+                self.headers.setdefault("WARC-Truncated", "length")
+            block = bytes(self.data)
+            yield self.headers, (re.sub(rb"(\r?\n){1,2}\Z", b"", block) if self.size is None else block[: self.size])
+        self.open, self.headers, self.data, self.size = False, None, bytearray(), None
+
+
+def _unzipped(data: bytes) -> tuple[bytes, bool]:
+    """The content of gzip members, as far as they go, and whether they end before their time."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(out), True
+        if not member.eof:
+            return b"".join(out), True
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out), False
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (the values of a repeated one joined by commas) and block of each record of a WARC file, plain or compressed."""
+    broken = False
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers: dict[str, str] = {}
-        for name, _, value in (x.partition(":") for x in lines):
-            headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files, a file to a task, with null ``page_id``."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def make():
-        def work(batch):
-            for content in batch.column("content"):
-                rows = [(h, b) for h, b in parse_records(content.as_py()) if h.get("WARC-Type") == "response"]
-                yield {
-                    "page_id": pa.nulls(len(rows), pa.int64()),
-                    "record_id": [h.get("WARC-Record-ID") for h, _ in rows],
-                    "target_uri": [h.get("WARC-Target-URI") for h, _ in rows],
-                    "warc_date": [h.get("WARC-Date") for h, _ in rows],
-                    "headers": [[*h.items()] for h, _ in rows],
-                    "block": [b for _, b in rows],
-                }
-
-        return work
-
-    return map_rows(files, RESPONSES, make)
+        data, broken = _unzipped(data)
+    records = Records()
+    for piece in data.split(_MARK.encode())[1:]:
+        yield from records.add(piece)
+    yield from records.end(broken)
+
+
+def read_responses(spark: SparkSession, path: str, *, skip_broken_files: bool = False) -> DataFrame:
+    """The response records of WARC files, with null ``page_id``.
+
+    Spark's line reader reads them, with the mark of a record as the line's end: a compressed file (by its suffix) is
+    inflated as it is read, a plain one falls into splits, and a task holds a batch of records. Names of folders that Spark
+    skips (``_`` and ``.``) are skipped. A plain file whose record holds the mark right where a split ends yields that record
+    truncated. A compressed file that breaks off fails the job; with ``skip_broken_files`` the records before the break stay
+    (then a file that can't be read for any other reason is skipped too).
+    """
+    pieces = spark.read.option("ignoreCorruptFiles", skip_broken_files).text(path, lineSep=_MARK).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("piece"))
+
+    struct = struct_of(RESPONSES)
+    arrow = to_arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, file = Records(), None
+        for batch in (part for whole in batches for part in cut(whole)):
+            rows = []
+            for name, piece in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                if name != file:
+                    rows += records.end()
+                    file = name
+                rows += records.add(piece or b"")
+            yield _responses(rows, arrow)
+        yield _responses([*records.end()], arrow)
+
+    return map_batches(pieces, run, struct)
+
+
+def _responses(records: list[tuple[dict[str, str], bytes]], arrow: pa.Schema) -> pa.RecordBatch:
+    rows = [(h, b) for h, b in records if h.get("WARC-Type", "").lower() == "response"]
+    columns = {
+        "page_id": [None] * len(rows),
+        "record_id": [h.get("WARC-Record-ID") for h, _ in rows],
+        "target_uri": [h.get("WARC-Target-URI") for h, _ in rows],
+        "warc_date": [h.get("WARC-Date") for h, _ in rows],
+        "headers": [[*h.items()] for h, _ in rows],
+        "block": [b for _, b in rows],
+    }
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
