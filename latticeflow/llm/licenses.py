@@ -4,12 +4,13 @@ A template and a stretch of text are aligned on the words that are unique to bot
 subsequence of their positions gives the anchors, and the gaps between anchors are aligned the same way, with words
 that are unique within them. A template's coverage is the share of its words that are aligned.
 
-Which templates to align, and where, follows from a bound that loses nothing: coverage ``t`` needs ``t`` of the
-template's words, thus all but ``(1 - t) * words`` of its distinct words. Of a text that has so many, all windows of
-twice the template's length with so many are aligned; each copy up to its template's length and its slack lies in one.
+Which templates to align follows from a bound that loses nothing: coverage ``t`` needs ``t`` of the template's words,
+thus all but ``(1 - t) * words`` of its distinct words. Of a text that has so many, all windows of twice the template's
+length with so many are aligned first, with short gaps at their ends, so that close copies are found one by one.
 Copies close together leave few words unique in such a window. Where it gives nothing, or a match longer than a copy,
 narrower windows are aligned, from each place where a copy may begin by the rarest of its words; what is left on both
-sides of a match is looked through again.
+sides of a match is looked through again. Last, each stretch between the matches is aligned whole and with gaps of any
+length: a licence counts however many foreign words stand in it, and what ``align`` covers in a whole text is found.
 One-line statements must be there in full and without other words between; a line within a longer match of the same
 licence goes.
 
@@ -25,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,11 @@ def templates(coverage: float = COVERAGE, texts: Sequence[tuple[str, str, str]]
     return out
 
 
+def from_folder(path: str) -> list[tuple[str, str, str]]:
+    """The built-in texts and the files of a folder of whole licence texts, named as the files are."""
+    return [*TEMPLATES, *((f.name, "text", f.read_text("utf-8", "replace")) for f in sorted(Path(path).iterdir()) if f.is_file() and not f.is_symlink())]
+
+
 def _increasing(values: list[int]) -> list[int]:
     """The places of a longest increasing subsequence, by patience: piles with the least end of each length."""
     ends, piles, back = [], [], []
@@ -79,8 +86,11 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
-    """Pairs of places in ``a`` and ``b`` with equal words, increasing in both."""
+def align(a: Sequence[str], b: Sequence[str], *, near: bool = False) -> list[tuple[int, int]]:
+    """Pairs of places in ``a`` and ``b`` with equal words, increasing in both.
+
+    ``near``: only words near the first and last anchors are aligned before and after them, so that a match is narrow.
+    """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, j, k, n = todo.pop()
@@ -101,11 +111,10 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
         out += anchors
         for (x, y), (x2, y2) in zip([(i - 1, k - 1), *anchors], [*anchors, (j, n)], strict=True):
             if x2 - x > 1 and y2 - y > 1:
-                # a gap before the first or after the last anchor is no wider than the template's own, and half as much
-                wide = (x2 - x) * 3 // 2 + 4
-                if y == k - 1 and i == 0:
+                wide = (x2 - x) * 3 // 2 + 4  # the template's own gap, and half as much
+                if near and y == k - 1 and i == 0:
                     y = max(y, y2 - wide)
-                if y2 == n and j == len(a):
+                if near and y2 == n and j == len(a):
                     y2 = min(y2, y + wide)
                 todo.append((x + 1, x2, y + 1, y2))
     return sorted(out)
@@ -138,12 +147,18 @@ def scan(words: Sequence[str], template: Template) -> list[tuple[int, int, int]]
         out += found
         for _, s, e in found:
             todo += [(low, s), (e, high)]
+    taken = sorted((s, e) for _, s, e in out)
+    low = 0
+    for s, e in [*taken, (len(words), len(words))]:
+        if s > low and len(template.distinct.intersection(words[low:s])) >= template.needed:
+            out += [one] if (one := _aligned(words, template, low, s, near=False)) else []
+        low = max(low, e)
     return sorted(set(out))
 
 
-def _aligned(words: Sequence[str], template: Template, low: int, high: int) -> tuple[int, int, int] | None:
+def _aligned(words: Sequence[str], template: Template, low: int, high: int, near: bool = True) -> tuple[int, int, int] | None:
     """Aligned words, first word and end of the template's alignment with a stretch, if it covers enough."""
-    pairs = align(template.words, words[low:high])
+    pairs = align(template.words, words[low:high], near=near)
     if not pairs or len(pairs) < template.least * len(template.words) - 1e-9:
         return None
     return len(pairs), low + pairs[0][1], low + pairs[-1][1] + 1
@@ -176,6 +191,7 @@ def find(words: Sequence[str], candidates: Sequence[Template]) -> list[tuple[str
 def find_licenses(docs: DataFrame, *, coverage: float = COVERAGE, texts: Sequence[tuple[str, str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``license`` (the one with the most aligned words), its ``coverage``, ``n_licenses`` and ``spans``.
 
+    ``texts`` are the templates (name, kind and text); ``from_folder`` adds whole texts to the built-in ones.
     ``spans`` holds ``license:start:end`` of each match in code points (of the lower-cased text, whose length differs
     from the text's for a few letters such as capital I with a dot), joined by commas.
     """
