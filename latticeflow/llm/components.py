@@ -6,12 +6,27 @@ or label comes to the driver, only a count and a checksum that show when nothing
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest reachable index of each of ``n`` nodes under the links ``i``-``j``."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+        left = label[i] != label[j]
+        i, j = i[left], j[left]
+    return label
+
+
 def _star(edges: DataFrame, scratch: Scratch, table: str, *, large: bool) -> DataFrame:
     """Large: every node sends its larger neighbours to its smallest; small: the smaller ones and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges

@@ -4,7 +4,12 @@ A fingerprint's 64 bits fall into 32 segments of two bits; the bit counts of the
 Flipping a bit moves the point by one, so the Manhattan distance of two points is at most the Hamming distance of
 the fingerprints. Of two fingerprints within three bits, one half of the point (16 segments) is within one step;
 so each distinct fingerprint is put into its own cell of either half and into the cells one step away, and meets
-there the fingerprints whose own cell it is. Hamming distances are then computed exactly, nothing is missed.
+there the fingerprints whose own cell it is. Within a cell the other half's four quarters are compared the same way: at
+up to three bits one of them has the same counts. Hamming distances are then computed exactly, nothing is missed. (The
+Manhattan distance of whole points would bound them from below, but costs as much as they do.)
+
+A cell that is the own one of over ``CELL`` fingerprints is dealt to several tasks: each has a part of these, and all that
+visit the cell.
 
 Equal fingerprints are one node from the start. A task returns a spanning forest of the links that it finds, never
 the links themselves, so what a group of copies yields grows with its size and not with its square.
@@ -24,14 +29,16 @@ from pyspark.sql import functions as F
 
 from . import resemblance
 from ._common import Scratch, documents, free_name, map_rows
-from .components import components
+from .components import components, forest
 
 BITS = 3
 HALF, SEGMENTS = 32, 16
-#: Rows of the grid in a task, and a cell's rows from which it is cut further before pairs are compared.
-TASK_ROWS, CROWD = 400_000, 1024
+#: Rows of the grid in a task, rows of a cell that are compared at a time, and its own fingerprints in a task.
+TASK_ROWS, CROWD, CELL = 400_000, 1024, 20_000
 _BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _POWERS = 3 ** np.arange(SEGMENTS, dtype=np.int64)
+#: The counts of the four segments of a byte, as one number.
+_COUNTS = (_BYTE.reshape(256, 4, 2).sum(2) @ 3 ** np.arange(4)).astype(np.uint8)
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -67,8 +74,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, bands: bool = False, id_c
     return map_rows(rows, "doc_id long, key long, fp long" + (", bands array<long>" if bands else ""), make)
 
 
-def _grid(fps: DataFrame) -> DataFrame:
-    """A row for each fingerprint's own cell in either half (``own``) and for each cell one step away."""
+def _grid(fps: DataFrame, *, steps: bool = True) -> DataFrame:
+    """A row for each fingerprint's own cell in either half (``own``) and, with ``steps``, for each cell one step away."""
 
     def make():
         def work(batch):
@@ -80,7 +87,7 @@ def _grid(fps: DataFrame) -> DataFrame:
                 point = counts[:, half * SEGMENTS : (half + 1) * SEGMENTS]
                 cell = (point @ _POWERS) * 2 + half
                 yield {"cell": cell, "fp": signed, "own": np.ones(len(cell), bool)}
-                for step in (-1, 1):
+                for step in (-1, 1) if steps else ():
                     row, k = np.nonzero((point + step >= 0) & (point + step <= 2))
                     yield {"cell": cell[row] + 2 * step * _POWERS[k], "fp": signed[row], "own": np.zeros(len(row), bool)}
 
@@ -93,27 +100,13 @@ def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= bits
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest reachable index of each of ``n`` nodes under the links ``i``-``j``."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while (label[label] != label).any():
-            label = label[label]
-        left = label[i] != label[j]
-        i, j = i[left], j[left]
-    return label
-
-
 def _links_of_crowd(fp: np.ndarray, half: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within one crowded cell: the other half has four bytes, of which one is equal at up to three bits."""
+    """Links within one crowded cell: of the other half's four bytes one has the same counts at up to three bits."""
     other = (fp >> np.uint64(0 if half else HALF)) & np.uint64(0xFFFFFFFF)
     for k in range(4):
-        byte = (other >> np.uint64(8 * k)) & np.uint64(255)
-        order = np.argsort(byte, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
+        counts = _COUNTS[(other >> np.uint64(8 * k)) & np.uint64(255)]
+        order = np.argsort(counts, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(counts[order])) + 1):
             for at in range(0, len(part), CROWD):
                 rows = part[at : at + CROWD]
                 for to in range(at, len(part), CROWD):
@@ -184,7 +177,15 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             a, b = cell_links(cell, fp.view(np.uint64), own, bits)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return _grid(fps).repartition(tasks, "cell").mapInArrow(run, schema)
+    hot = Scratch(session, "cells").put(_grid(fps, steps=False).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "hot")
+    grid = _grid(fps)
+    if not hot.isEmpty():
+        parts = F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("int")
+        dealt = grid.join(hot, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        # the name of a part keeps the cell's half; parts that share one do no harm, as all links are tested
+        name = F.when(F.col("n").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "part").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("cell").bitwiseAND(F.lit(1))))
+        grid = dealt.select(name.alias("cell"), "fp", (F.col("own") & (F.pmod(F.xxhash64("fp"), parts) == F.col("part"))).alias("own"))
+    return grid.repartition(tasks, "cell").mapInArrow(run, schema)
 
 
 def _classes(docs: DataFrame, scratch: Scratch, bits: int, shingle: int, id_col: str, text_col: str, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
