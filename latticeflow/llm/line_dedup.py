@@ -1,14 +1,15 @@
 """Removal of repeated line runs, by a suffix array over line ids.
 
 All lines with a word, in the order (document, line), are one sequence; a document's end cuts it. Lines that occur
-once can't be in a repeated run and cut it too. Prefix doubling then names the first 1, 2, 4, ... lines of each
-suffix: a round joins a suffix's name with the name 2^k lines on, and equal pairs get one name, that of their first
-position; a suffix that nobody shares leaves. Suffixes ordered by these nested names are the suffix array, and the
-suffixes that agree on n lines are one of its longest-common-prefix intervals; two overlapping names of 2^k lines
-say which interval that is. For each line, the shortest run from it and the shortest run up to it with
-``min_words`` words are looked up. An interval's first position is its first copy; the runs at all others are later
-copies. A maximal repeated run is the union of such runs, so all its lines go in its later copies. As a line has a
-word, runs have at most ``min_words`` lines, and ``log2(min_words)`` rounds suffice for any input.
+once can't be in a repeated run and cut it too. Prefix doubling then ranks the first 1, 2, 4, ... lines of each
+suffix: a round joins a suffix's rank with the rank 2^k lines on, and the distinct pairs are sorted by ranges; their
+order is the next rank. A suffix that nobody shares is in an interval of its own and leaves. Suffixes in the order of the
+last rank are the suffix array; the suffixes that agree on n lines are one of its longest-common-prefix intervals, and
+the ranks of 2^k lines at its head and at its tail, which overlap, say which. For each line, the shortest run from it
+and the shortest run up to it with ``min_words`` words are looked up. An interval's first position is its first copy;
+the runs at all others are later copies. A maximal repeated run is the union of such runs, so all its lines go in its
+later copies. As a line has a word, runs have at most ``min_words`` lines, and ``log2(min_words)`` rounds suffice for any
+input; an array over longer prefixes would part no interval that matters here.
 
 Copies overlap where a run repeats at once (a line ten times in a row): its first position stays, the others go.
 
@@ -70,11 +71,15 @@ def _doc_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(rows, "doc_id long, text_key binary, line int, seq int, hash binary, words int", make)
 
 
-def _named(rows: DataFrame, keys: list[str], scratch: Scratch, table: str) -> DataFrame:
-    """``rows`` with ``name``: the first position (document, then place) with the same keys; those alone are left out."""
-    first = F.min(F.struct("doc", "seq")).alias("name")
-    shared = scratch.put(rows.groupBy(*keys).agg(first, F.count("*").alias("copies")).where("copies > 1").drop("copies"), f"{table}-shared")
-    return rows.join(shared, keys)
+def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, table: str) -> DataFrame:
+    """``rows`` with ``rank``: the place of its keys in the order of all that come twice or more; those alone are left out.
+
+    Ranks have gaps: a range's number and the place in it are one number, so that no task sees all.
+    """
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1").select(*keys)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = shared.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    return rows.join(scratch.put(ordered.withColumn("rank", F.monotonically_increasing_id()), f"{table}-ranks"), keys)
 
 
 def _doc() -> Column:
@@ -88,26 +93,27 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     counted = scratch.put(every.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1").select("hash"), "repeated")
     active = scratch.put(every.join(counted, "hash").select(_doc(), "seq", "line", "words", "hash").dropDuplicates(["doc", "seq"]), "active")
     scratch.drop("lines", "repeated")
-    names = {0: scratch.put(_named(active.select("doc", "seq", "hash"), ["hash"], scratch, "name0").select("doc", "seq", "name"), "name0")}
+    ranks = {0: scratch.put(_ranked(active.select("doc", "seq", "hash"), ["hash"], scratch, "rank0").select("doc", "seq", "rank"), "rank0")}
     k = 0
     while 1 << (k + 1) <= min_words:
-        now = names[k]
-        ahead = now.select("doc", (F.col("seq") - (1 << k)).alias("seq"), F.col("name").alias("next"))
+        now = ranks[k]
+        ahead = now.select("doc", (F.col("seq") - (1 << k)).alias("seq"), F.col("rank").alias("next"))
         pairs = scratch.put(now.join(ahead, ["doc", "seq"]), f"pairs{k + 1}")
         k += 1
-        table = _named(pairs.withColumnRenamed("name", "here"), ["here", "next"], scratch, f"name{k}")
-        names[k] = scratch.put(table.select("doc", "seq", "name"), f"name{k}")
-        scratch.drop(f"pairs{k}", f"name{k}-shared")
+        table = _ranked(pairs.withColumnRenamed("rank", "here"), ["here", "next"], scratch, f"rank{k}")
+        ranks[k] = scratch.put(table.select("doc", "seq", "rank"), f"rank{k}")
+        scratch.drop(f"pairs{k}", f"rank{k}-ranks")
     windows = scratch.put(_windows(active, min_words), "windows")
     runs = None
-    for level, named in names.items():
+    for level, ranked in ranks.items():
         size = 1 << level
         own = windows.where((F.col("n") >= size) & (F.col("n") < 2 * size))
-        head = own.join(named.select("doc", F.col("seq").alias("start"), F.col("name").alias("head")), ["doc", "start"])
-        tail = named.select("doc", (F.col("seq") + size).alias("stop"), F.col("name").alias("tail"))
+        head = own.join(ranked.select("doc", F.col("seq").alias("start"), F.col("rank").alias("head")), ["doc", "start"])
+        tail = ranked.select("doc", (F.col("seq") + size).alias("stop"), F.col("rank").alias("tail"))
         both = head.withColumn("stop", F.col("start") + F.col("n")).join(tail, ["doc", "stop"]).select("doc", "start", "n", "head", "tail")
         runs = both if runs is None else runs.union(both)
-    runs = scratch.put(runs, "runs")  # n says of which level the names are
+    runs = scratch.put(runs, "runs")  # n says of which level the ranks are
+    scratch.drop("windows", *(f"rank{x}" for x in ranks))
     first = scratch.put(runs.groupBy("n", "head", "tail").agg(F.min(F.struct("doc", "start")).alias("first")), "intervals")
     gone = runs.join(first, ["n", "head", "tail"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "n")
     taken = gone.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("seq")).distinct()
