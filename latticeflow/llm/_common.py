@@ -7,6 +7,7 @@ in local mode without that setting, as in tests; a cluster without a shared fold
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import tempfile
@@ -20,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 _OWN: dict[str, str] = {}
+_OPENED: list[list[Scratch]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,8 @@ class Scratch:
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(path)  # only what exists can be marked
         files.deleteOnExit(path)
+        for own in _OPENED:
+            own.append(self)
 
     def put(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
         """``df`` as it was written; with ``by``, a folder for each value of that column."""
@@ -59,10 +63,28 @@ class Scratch:
     def get(self, table: str, schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
+    def close(self) -> None:
+        """Deletes all tables, which nothing may read any more."""
+        self._delete(self.root)
+
     def drop(self, *tables: str) -> None:
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{table}")
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def opened() -> Iterator[list[Scratch]]:
+    """The scratch folders that are opened meanwhile."""
+    own: list[Scratch] = []
+    _OPENED.append(own)
+    try:
+        yield own
+    finally:
+        _OPENED[:] = [x for x in _OPENED if x is not own]
 
 
 def struct_of(schema: StructType | str) -> StructType:
