@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.llm import decontaminate, line_dedup, packing, quality, simhash
-from latticeflow.llm._common import Scratch
+from latticeflow.llm._common import Scratch, free_name, opened
 from latticeflow.llm.queries import piece_model, table, word_model
 
 #: The later stages read texts that no SQL can rebuild without the tokenizers and hashes.
@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of line runs of 50 words and more; ``n_chars`` follows the text."""
-    out = line_dedup.remove_repeated_lines(docs, removed="removed_lines")
-    n_chars = F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = free_name(docs, "removed_lines")
+    out = line_dedup.remove_repeated_lines(docs, removed=removed)
+    n_chars = F.when(F.size(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -34,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no test item."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +53,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    scratch = Scratch(spark, "pipeline")
+    """All stages over ``documents``, each written and read again before the next; what a stage leaves behind goes then."""
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        with opened() as own:
+            docs = scratch.put(stage(spark, docs, sf_dir), name)
+            for x in own:
+                x.close()
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
