@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -151,9 +151,16 @@ class Dataset:
         for train, test in splitter.split(ids, labels):
             yield tuple(self.with_frame(self.df.join(pick(p), self.id_col, "left_semi")) for p in (train, test))
 
-    def folds(self, k: int, seed: int = 42, stratified: bool = False) -> DataFrame:
-        """The rows with their ``fold``: by a hash of the id, or by rank within the label in hash order."""
-        hashed = F.xxhash64(F.col(self.id_col), F.lit(seed))
+    def class_count(self) -> DataFrame:
+        """``n``: one more than the largest label; labels are numbered from 0."""
+        return self.df.agg((F.max(self._label()) + 1).alias("n"))
+
+    def folds(self, k: int, seed: int = 42, stratified: bool = False, order: Column | None = None) -> DataFrame:
+        """The rows with their ``fold``: by a hash of the id, or by rank within the label in hash order.
+
+        ``order`` (a whole number, if not stratified) takes the hash's place.
+        """
+        hashed = order if order is not None else hash_of(F.col(self.id_col), seed)
         if not stratified:
             return self.df.withColumn("fold", F.pmod(hashed, F.lit(k)).cast("int"))
         return stratified_folds(self.df, self._label(), hashed, self.id_col, k)
@@ -164,27 +171,72 @@ class Dataset:
             yield tuple(self.with_frame(rows.where(c).drop("fold")) for c in (F.col("fold") != fold, F.col("fold") == fold))
 
 
-def stratified_folds(df: DataFrame, label: str, order: object, id_col: str, k: int, parts: int = 256) -> DataFrame:
-    """``fold``: the rank within the label, modulo ``k``. Ranks are counted in parts, so that no label is one task.
+def hash_of(value: Column, seed: int) -> Column:
+    """60 bits of the MD5 of a value and a seed, which every SQL can say too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", value.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores until no column of ``df`` has them (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Ranges into which an order falls, and values that are sampled to cut them.
+RANGES, SAMPLED = 200, 4000
+
+
+def range_of(frame: DataFrame, column: str) -> Column:
+    """The number of the range, of about ``RANGES`` equal ones, that a row's value falls into; larger values, larger ranges.
+
+    The cuts come from ``SAMPLED`` values, those with the least hashes, so that they are the same whenever they are read.
+    """
+    held = frame.select(column).where(F.col(column).isNotNull()).distinct()
+    values = sorted(r[0] for r in held.orderBy(F.xxhash64(column), column).limit(SAMPLED).collect())
+    cuts = sorted({values[k * len(values) // RANGES] for k in range(1, RANGES)}) if len(values) > RANGES else values
+    if not cuts:
+        return F.lit(0)
+    kind = frame.schema[column].dataType
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(column))), F.lit(0))
+
+
+def stratified_folds(df: DataFrame, label: str, order: Column, id_col: str, k: int) -> DataFrame:
+    """``fold``: the rank within the label, modulo ``k``, however many rows a label has.
 
-    Ranks within a part, plus the rows of the label's parts before it; the parts' counts are ``parts`` rows a label.
+    Ranks are counted within ranges of the order, so that no label is one task, and start from the rows of the label's
+    ranges before; those counts are ``RANGES`` rows a label.
     """
-    keyed = df.withColumn("__order", order).withColumn("__part", F.pmod(F.shiftrightunsigned("__order", 40), F.lit(parts)))
-    sizes = keyed.groupBy(label, "__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(label).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(label, "__part").orderBy("__order", id_col)))
-    starts = sizes.select(F.col(label).alias("__label"), F.col("__part").alias("__own"), before.alias("__before"))
-    return ranked.join(starts, ranked[label].eqNullSafe(starts["__label"]) & (ranked["__part"] == starts["__own"])).withColumn("fold", F.pmod(F.col("__rank") - 1 + F.col("__before"), F.lit(k)).cast("int")).drop("__order", "__part", "__rank", "__label", "__own", "__before")
+    at, part, rank, n, own_label, own_part, before = free_names(df, "order", "part", "rank", "n", "own_label", "own_part", "before")
+    ordered = df.withColumn(at, order)
+    keyed = ordered.withColumn(part, range_of(ordered, at))
+    sizes = keyed.groupBy(F.col(label).alias(own_label), F.col(part).alias(own_part)).agg(F.count("*").alias(n))
+    earlier = W.partitionBy(own_label).orderBy(own_part).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(own_label, own_part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    ranked = keyed.withColumn(rank, F.row_number().over(W.partitionBy(label, part).orderBy(at, id_col)))
+    joined = ranked.join(starts, F.col(label).eqNullSafe(F.col(own_label)) & (F.col(part) == F.col(own_part)))
+    return joined.withColumn("fold", F.pmod(F.col(rank) - 1 + F.col(before), F.lit(k)).cast("int")).drop(at, part, rank, own_label, own_part, before)
 
 
 def factorize(df: DataFrame, value: str, order: str, code: str = "code") -> DataFrame:
     """``df`` with the value's number by first appearance (in ``order``); -1 for null.
 
-    The codes are a table of the distinct values; it is joined, and broadcast only if Spark finds it small.
+    The codes are a table of the distinct values; it is joined, and broadcast only if Spark finds it small. Values are
+    numbered within ranges of their first appearance, from the number of values in the ranges before (``RANGES`` rows).
     """
-    first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"))
-    codes = first.select(F.col(value).alias("__value"), (F.row_number().over(W.orderBy("__first", value)) - 1).cast("int").alias("__code"))
-    return df.join(codes, df[value] == codes["__value"], "left").withColumn(code, F.coalesce("__code", F.lit(-1))).drop("__value", "__code")
+    own, first, part, n, before, number, found = free_names(df, "own_value", "first", "part", "n", "before", "number", "found")
+    seen = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias(own)).agg(F.min(order).alias(first))
+    placed = seen.withColumn(part, range_of(seen, first))
+    sizes = placed.groupBy(part).agg(F.count("*").alias(n))
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # RANGES rows
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    numbered = placed.withColumn(number, F.row_number().over(W.partitionBy(part).orderBy(first, own)))
+    codes = numbered.join(F.broadcast(starts), part).select(own, (F.col(before) + F.col(number) - 1).cast("int").alias(found))
+    return df.join(codes, F.col(value) == F.col(own), "left").withColumn(code, F.coalesce(found, F.lit(-1))).drop(own, found)
 
 
 def category_keys(data: Dataset) -> dict[str, object]:
