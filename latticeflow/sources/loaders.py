@@ -42,6 +42,15 @@ def same(data: Dataset, **_: Any) -> Dataset:
     return data
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once: a checkpoint where the cluster names a folder for them, else persisted."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
 def from_frame(df: DataFrame, *, categorical: Sequence[str] = (), labels: str | None = None, Xc: Any = None, y: Any = None, id_col: str | None = None, **_: Any) -> Dataset:
     """Numeric columns are numeric features, string, boolean and named ones are categories; the label column is neither.
 
@@ -56,7 +65,7 @@ def from_frame(df: DataFrame, *, categorical: Sequence[str] = (), labels: str |
         id_col = ROW_ID
         while id_col in df.columns:
             id_col += "_"
-        df = df.withColumn(id_col, F.monotonically_increasing_id()).persist()  # read once, so that ids don't change
+        df = _kept(df.withColumn(id_col, F.monotonically_increasing_id()))
     own = [f for f in df.schema.fields if f.name not in (id_col, labels)]
     numeric = [f.name for f in own if isinstance(f.dataType, NumericType) and f.name not in categorical]
     classes = [f.name for f in own if f.name in categorical or isinstance(f.dataType, (StringType, BooleanType))]
