@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,10 +46,15 @@ def safe_bin(bin_: Column, bins: int) -> Column:
     return F.least(F.greatest(bin_, F.lit(0)), F.lit(bins - 1))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(scores: Column) -> Column:
     """Stable softmax of an array."""
-    raised = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
+    shared = lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(e, lambda v: v / t))
+    return once(scores, lambda s: once(F.array_max(s), lambda m: once(F.transform(s, lambda v: F.exp(v - m)), shared)))
 
 
 def softmax_cross_entropy(probabilities: Column, label: Column) -> Column:

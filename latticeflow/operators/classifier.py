@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -108,17 +108,28 @@ class CNClassifier(_Base):
         counts = F.array(*[F.col(w) for w in weights])
         return self._scored(own).select("scores", F.posexplode(counts).alias("y", "n")).where("n > 0").groupBy("scores", "y").agg(F.sum("n").alias("n"))
 
+    def _objective(self) -> tuple[DataFrame, int, Callable[[np.ndarray], tuple[float, np.ndarray]]]:
+        """The training rows (persisted), their number, and the sums of loss and gradient at a matrix of weights."""
+        rows = self._training().persist()
+        n = rows.agg(F.sum("n")).first()[0]
+        if rows.count() > LOCAL_ROWS:
+            return rows, n, lambda w: _on_cluster(rows, w)
+        held = rows.collect()
+        parts = (np.array([r["scores"] for r in held]), np.array([r["y"] for r in held]), np.array([r["n"] for r in held], float))
+        return rows, n, lambda w: _cross_entropy(w, *parts)
+
+    def loss_and_gradient(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean cross-entropy over the training rows, and its derivative by class and place."""
+        rows, n, evaluate = self._objective()
+        loss, gradient = evaluate(np.asarray(weights, float).reshape(len(self.classes), -1))
+        rows.unpersist()
+        return loss / n, gradient / n
+
     def fit(self, data: Any, **roles: Any) -> CNClassifier:
         """Mean softmax cross-entropy by gradient descent."""
         self.fit_closures(data, **roles)
-        rows = self._training().persist()
-        size, n = len(self.classes), rows.agg(F.sum("n")).first()[0]
-        if rows.count() <= LOCAL_ROWS:
-            held = rows.collect()
-            parts = (np.array([r["scores"] for r in held]), np.array([r["y"] for r in held]), np.array([r["n"] for r in held], float))
-            evaluate = lambda w: _cross_entropy(w, *parts)
-        else:
-            evaluate = lambda w: _on_cluster(rows, w)
+        size = len(self.classes)
+        rows, n, evaluate = self._objective()
         last: dict[str, Any] = {}
 
         def both(w: np.ndarray) -> tuple[float, np.ndarray]:

@@ -3,8 +3,9 @@
 Training rows are first counted by their whole tuple of bins; all smaller sets are summed from those counts in one
 grouping-sets aggregation. What a lookup does depends on the size of a set's table, which was counted at fitting:
 small ones become constant arrays with a place for each combination of bins, so that a row finds its count in
-generated code; larger ones are broadcast; the largest and the full set are joined on their bins. With very many sets
-(``WIDE``), tuples are exploded over the sets instead, and one join serves all.
+generated code; larger ones are broadcast; a few of the largest (``ALONE``) and the full set are joined on their bins. If
+more are that large, or with very many sets (``WIDE``), the rows' distinct tuples are exploded over the sets, one join
+finds all their counts, and another one brings these to the rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ BROADCAST_ROWS, BROADCAST_TOTAL = 100_000, 1_000_000
 DENSE, DENSE_TOTAL = 20_000, 200_000
 #: A category is found in a constant list up to so many values, else by a broadcast join.
 LISTED = 64
-#: Up to so many distinct sets, each is joined on its own.
+#: Up to so many distinct sets, each has its bins in columns.
 WIDE = 80
+#: Sets that are too large for a broadcast are joined one by one up to so many; more are looked up together.
+ALONE = 2
 
 
 def bin_names(features: int) -> list[str]:
@@ -97,7 +100,8 @@ def closure_table(tuples: DataFrame, sets: Sequence[FeatureSet], features: int,
     if not wide:
         return _exploded(tuples, sets, counts).groupBy("set_id", "key").agg(*sums)
     names = bin_names(features)
-    ids = {sum(1 << (features - 1 - i) for i in range(features) if i not in s): k for k, s in enumerate(sets)}
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x  # noqa: E731  as Spark's long
+    ids = {signed(sum(1 << (features - 1 - i) for i in range(features) if i not in s)): k for k, s in enumerate(sets)}
     grouped = tuples.groupingSets([[F.col(names[i]) for i in s] for s in sets], *names).agg(*sums, F.grouping_id().alias("gid"))
     lookup = F.create_map(*[x for gid, k in ids.items() for x in (F.lit(gid).cast("long"), F.lit(k))])
     return grouped.select(lookup[F.col("gid").cast("long")].alias("set_id"), *names, *counts)
@@ -186,7 +190,7 @@ def look_up(frame: DataFrame, closures: Closures, count: str | Sequence[str]) ->
     sets, found = closures.distinct, {}
     out = frame
     if closures.wide and closures.table is not None:
-        total = 0
+        total, large = 0, []
         out, places = _with_places(out, closures)
         for k, (strides, counts) in closures.dense.items():
             at = sum((places[i] * F.lit(stride) for i, stride in zip(sets[k], strides, strict=True)), F.lit(0).cast("long"))
@@ -197,17 +201,22 @@ def look_up(frame: DataFrame, closures: Closures, count: str | Sequence[str]) ->
             if k in closures.dense:
                 continue
             rows = closures.rows.get(k, 0)
-            own = closures.table.where(F.col("set_id") == k).select(*[F.col(names[i]).alias(f"k{k}_{i}") for i in s], value.alias(f"n{k}"))
             total += rows
             small = rows <= BROADCAST_ROWS and total <= BROADCAST_TOTAL
+            if not small:
+                large.append(k)
+            if not small and len(large) > ALONE:
+                continue
+            own = closures.table.where(F.col("set_id") == k).select(*[F.col(names[i]).alias(f"k{k}_{i}") for i in s], value.alias(f"n{k}"))
             out = _on_bins(out, F.broadcast(own) if small else own, [names[i] for i in s], [f"k{k}_{i}" for i in s], spread=not small)
             found[s] = F.col(f"n{k}")
+        if len(large) > ALONE:
+            own = {k: sets[k] for k in large[ALONE:]}
+            keys = F.coalesce(*[F.when(F.col("set_id") == k, _key(s)) for k, s in own.items()])
+            out = _together(out, names, own, closures.table.where(F.col("set_id").isin([*own])).select("set_id", keys.alias("key"), value.alias("__n")))
+            found |= {s: F.col("__found")[k] for k, s in own.items()}
     elif closures.table is not None:
-        probes = _exploded(frame.select(*names).distinct(), sets, names)
-        hits = probes.join(closures.table.select("set_id", "key", value.alias("__n")), ["set_id", "key"])
-        maps = hits.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("set_id", "__n"))).alias("__found"))
-        maps = maps.select(*[F.col(n).alias(f"p_{n}") for n in names], "__found")
-        out = _on_bins(out, maps, names, [f"p_{n}" for n in names])
+        out = _together(out, names, dict(enumerate(sets)), closures.table.select("set_id", "key", value.alias("__n")))
         found = {s: F.col("__found")[k] for k, s in enumerate(sets)}
     full = tuple(range(closures.features))
     if full in closures.sets:
@@ -218,6 +227,15 @@ def look_up(frame: DataFrame, closures: Closures, count: str | Sequence[str]) ->
     return out.select(*frame.columns, sizes.alias("sizes"))
 
 
+def _together(frame: DataFrame, names: Sequence[str], sets: Mapping[int, FeatureSet], table: DataFrame) -> DataFrame:
+    """``frame`` with ``__found``: by set, the ``__n`` of the table (``set_id``, ``key``) for the row's bins."""
+    pairs = [F.struct(F.lit(k).alias("set_id"), _key(s).alias("key")) for k, s in sets.items()]
+    probes = frame.select(*names).distinct().select(*names, F.inline(F.array(*pairs)))
+    hits = probes.join(table, ["set_id", "key"])
+    maps = hits.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("set_id", "__n"))).alias("__found"))
+    return _on_bins(frame, maps.select(*[F.col(n).alias(f"p_{n}") for n in names], "__found"), names, [f"p_{n}" for n in names])
+
+
 def _on_bins(left: DataFrame, right: DataFrame, names: Sequence[str], others: Sequence[str], spread: bool = True) -> DataFrame:
     """A left join on bins. ``spread`` adds their hash as a key: the counts then don't keep the partitions in which
     they were aggregated, both sides are exchanged, and a tuple with very many rows can be split as a skewed join."""
