@@ -20,6 +20,7 @@ from .operators.context import FormalContext, nominal_incidence
 from .operators.metrics import auc
 from .operators.outlier import SODModel, UODModel
 from .operators.quantize import fit_quantizer
+from .operators.training import GradientDescent
 from .plans.feature_sets import ConfigurableSelector, FeatureSet, name_of, pairs_of
 from .sources.dataset import Dataset, factorize
 
@@ -95,8 +96,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source").join(labels, "doc_id")
 
 
+#: Elements of an embedding.
+WIDTH = 64
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(WIDTH)])
 
 
 _DOC_SQL = "(SELECT doc_id, n_chars, lang, source, quality, toxic FROM documents JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id))"
@@ -107,7 +112,7 @@ SUPPLIERS = Source("supplier", "s_suppkey", ("s_acctbal",), ("s_nationkey",), bi
 ORDERS = Source("orders", "o_orderkey", ("o_orderkey", "o_totalprice"), (), bins=32)
 EVENTS = Source("events", "event_id", ("value",), ("event_type",))
 DOCS = Source("documents", "doc_id", ("n_chars",), ("lang", "source"), "toxic", 16, _documents, _DOC_SQL)
-VECTORS = Source("embeddings", "vec_id", ("e0", "e1", "e2", "e3"), (), "label", 3, _vectors, "(SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(4)) + " FROM embeddings)")
+VECTORS = Source("embeddings", "vec_id", tuple(f"e{i}" for i in range(WIDTH)), (), "label", 3, _vectors, "(SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(WIDTH)) + " FROM embeddings)")
 LINE_CLASSES = Source("lineitem", "l_orderkey", ("l_quantity", "l_discount"), ("l_linestatus",), "flag", 8, lambda s, d: table(s, d, "lineitem").withColumn("flag", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)), "(SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS flag FROM lineitem)")
 
 
@@ -179,7 +184,9 @@ def category_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT max(quality) + 1 AS quality_classes, max(toxic) + 1 AS toxic_classes FROM labels")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").agg((F.max("quality") + 1).alias("quality_classes"), (F.max("toxic") + 1).alias("toxic_classes"))
+    labels = table(spark, sf_dir, "labels")
+    counts = [Dataset(labels, "doc_id", (feature,), label=label).class_count().withColumnRenamed("n", f"{label}_classes") for label, feature in (("quality", "toxic"), ("toxic", "quality"))]
+    return counts[0].crossJoin(counts[1])  # a row each
 
 
 @query("SELECT s_suppkey, 0::INT AS feature, s_acctbal AS number, NULL::VARCHAR AS value FROM supplier UNION ALL SELECT s_suppkey, 1, NULL, s_nationkey::VARCHAR FROM supplier")
@@ -266,6 +273,7 @@ def intension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SUPPLIERS.ctes()} SELECT a.s_suppkey, b.s_suppkey AS member FROM q a JOIN t b ON a.b0 = b.b0 AND a.b1 = b.b1")
 def closure_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of the closures of all objects: what is asked for has as many rows as all closures have members."""
     d = SUPPLIERS.data(spark, sf_dir)
     binned = d.df.select("s_suppkey", *fit_quantizer(d, SUPPLIERS.bins).bins())
     return binned.join(binned.withColumnRenamed("s_suppkey", "member"), ["b0", "b1"]).select("s_suppkey", "member")
@@ -281,15 +289,31 @@ def _general(spark: SparkSession, sf_dir: str) -> FormalContext:
 _GENERAL_SQL = f"{SUPPLIERS.ctes()}, i AS (SELECT s_suppkey AS obj_id, substr(b1, 2)::INT AS attr_id FROM q UNION ALL SELECT s_suppkey, b0 + 100 FROM q)"
 
 
-@query(f"{_GENERAL_SQL} SELECT obj_id FROM i WHERE attr_id IN (1, 104) GROUP BY obj_id HAVING count(DISTINCT attr_id) = 2")
+def _own_sql(obj: int) -> str:
+    return f"(SELECT DISTINCT attr_id FROM i WHERE obj_id = {obj})"
+
+
+def _attributes(context: FormalContext, obj: int) -> list[int]:
+    return [r["attr_id"] for r in context.intension(obj).collect()]
+
+
+@query(f"{_GENERAL_SQL} SELECT obj_id FROM i WHERE attr_id IN {_own_sql(1)} GROUP BY obj_id HAVING count(DISTINCT attr_id) = (SELECT count(*) FROM {_own_sql(1)})")
 def closure_by_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _general(spark, sf_dir).closure([1, 104])
+    """The objects that have both attributes of supplier 1, itself among them."""
+    context = _general(spark, sf_dir)
+    return context.closure(_attributes(context, 1))
 
 
-@query(f"{_GENERAL_SQL} SELECT obj_id FROM i WHERE attr_id IN (2, 103) AND obj_id % 2 = 0 GROUP BY obj_id HAVING count(DISTINCT attr_id) = 2")
+@query(f"{_GENERAL_SQL} SELECT obj_id FROM i WHERE attr_id IN {_own_sql(2)} AND obj_id % 2 = 0 GROUP BY obj_id HAVING count(DISTINCT attr_id) = (SELECT count(*) FROM {_own_sql(2)})")
 def filtered_closure_by_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of supplier 2, among those with an even key."""
     context = _general(spark, sf_dir)
-    return context.closure([2, 103], context.incidence.where("obj_id % 2 = 0").select("obj_id").distinct())
+    return context.closure(_attributes(context, 2), context.incidence.where("obj_id % 2 = 0").select("obj_id").distinct())
+
+
+@query(f"{_GENERAL_SQL}, o AS (SELECT obj_id, list_sort(list(DISTINCT attr_id)) AS own FROM i GROUP BY 1) SELECT obj_id FROM o WHERE list_has_all(own, (SELECT own FROM o WHERE obj_id = 3))")
+def closure_of_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _general(spark, sf_dir).closure_of(3)
 
 
 @query(f"{_GENERAL_SQL}, o AS (SELECT obj_id, list_sort(list(DISTINCT attr_id)) AS own FROM i GROUP BY 1) SELECT a.obj_id, count(*) AS n FROM o a JOIN o b ON list_has_all(b.own, a.own) GROUP BY 1")
@@ -444,7 +468,7 @@ def sod_explain_fixed_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT round(count(*) / (count(*) - sum((toxic = 0)::INT)), 9) AS balance FROM {_DOC_SQL}")
 def sod_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DOCS.data(spark, sf_dir).df.agg(_r(F.count("*") / (F.count("*") - F.count_if(F.col("toxic") == 0))).alias("balance"))
+    return spark.createDataFrame([(round(_sod(spark, sf_dir)[0].statistics().balance, 9),)], "balance double")
 
 
 def _gram_frame(spark: SparkSession, pairs: list[tuple[int, int, int, float]]) -> DataFrame:
@@ -474,6 +498,43 @@ def sod_gradient_fixed_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(float(x), 5)) for k, x in enumerate(g)], "ctx_id int, gradient double")
 
 
+_EPOCHS = 12
+_START = GradientDescent(lambda w: 0.0, lambda w: w, len(_W)).weights
+#: The statistics of the degrees by class, then the descent, an epoch in a row.
+_TRAINED = f"""
+{DOCS.degrees(_INLIERS).replace("WITH ", "WITH RECURSIVE ", 1)}, y AS (SELECT doc_id, (toxic <> 0)::INT AS outlier FROM q), e AS (SELECT id, ctx_id, degree, outlier FROM d JOIN y ON doc_id = id),
+gm AS (SELECT outlier, list(gs ORDER BY i) AS g FROM (SELECT outlier, i, list(v ORDER BY j) AS gs FROM (SELECT a.outlier, a.ctx_id AS i, b.ctx_id AS j, sum(a.degree * b.degree) AS v FROM e a JOIN e b USING (id) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+sv AS (SELECT outlier, list(v ORDER BY ctx_id) AS s FROM (SELECT outlier, ctx_id, sum(degree) AS v FROM e GROUP BY ALL) GROUP BY ALL), kn AS (SELECT outlier, count(*)::DOUBLE AS k FROM y GROUP BY ALL),
+mm AS (SELECT a.g AS g0, b.g AS g1, c.s AS s0, d.s AS s1, e.k AS k0, f.k AS k1, (e.k + f.k) / f.k AS balance FROM gm a, gm b, sv c, sv d, kn e, kn f WHERE a.outlier = 0 AND b.outlier = 1 AND c.outlier = 0 AND d.outlier = 1 AND e.outlier = 0 AND f.outlier = 1),
+w AS (SELECT 0 AS epoch, {[float(x) for x in _START]}::DOUBLE[] AS w, {[0.0] * len(_W)}::DOUBLE[] AS step UNION ALL
+  SELECT epoch + 1, list_transform(range(1, {len(_W) + 1}), lambda i: w[i] + now[i]), now FROM (
+    SELECT epoch, w, list_transform(range(1, {len(_W) + 1}), lambda i: 0.01 * step[i] - 0.01 * (2 / balance * ((h0[i] / t + a0 * s0[i] - r0) / t - (list_dot_product(w, h0) / t + a0 * list_dot_product(w, s0)) / (t * t)) + 2 * ((h1[i] / t + a1 * s1[i] - r1) / t - (list_dot_product(w, h1) / t + a1 * list_dot_product(w, s1)) / (t * t)))) AS now FROM (
+      SELECT *, list_dot_product(w, s0) / t + k0 * a0 AS r0, list_dot_product(w, s1) / t + k1 * a1 AS r1 FROM (
+        SELECT *, -minus / t AS a0, -minus / t - 1 AS a1, list_transform(g0, lambda x: list_dot_product(x, w)) AS h0, list_transform(g1, lambda x: list_dot_product(x, w)) AS h1 FROM (
+          SELECT *, list_sum(w) AS t, coalesce(list_sum(list_filter(w, lambda x: x < 0)), 0) AS minus FROM w, mm WHERE epoch < {_EPOCHS})))))
+"""
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[SODModel, Dataset]:
+    d = DOCS.data(spark, sf_dir)
+    return SODModel(n=DOCS.bins, epochs=_EPOCHS, stop_threshold=0.0, show_training=False).fit(d), d
+
+
+@query(f"{_TRAINED} SELECT (unnest(range({len(_W)})))::INT AS ctx_id, round(unnest(w), 5) AS weight FROM w WHERE epoch = {_EPOCHS}")
+def sod_train_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights after a few epochs from the seeded start, which SQL is given."""
+    weights = _trained(spark, sf_dir)[0].get_weights()
+    return spark.createDataFrame([(k, round(float(x), 5)) for k, x in enumerate(weights)], "ctx_id int, weight double")
+
+
+@query(
+    f"{_TRAINED}, fitted AS (SELECT w, list_sum(w) AS t, coalesce(list_sum(list_filter(w, lambda x: x < 0)), 0) AS minus FROM w WHERE epoch = {_EPOCHS}) SELECT id AS doc_id, round((sum(w[ctx_id + 1] * degree) - any_value(minus)) / any_value(t), 4) AS score FROM d, fitted GROUP BY id"
+)
+def sod_train_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, d = _trained(spark, sf_dir)
+    return model.predict(d).withColumn("score", F.round("score", 4))
+
+
 @query()
 def sod_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained from a seed; the tests hold the statistics against the plain loss."""
@@ -505,7 +566,8 @@ def _proba_ctes(s: Source, classes: int) -> str:
     return f"{_score_ctes(s, classes)}, z AS ({z}), m AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z), p AS (SELECT id, class, e / sum(e) OVER (PARTITION BY id) AS p FROM m)"
 
 
-VECTOR_ROWS = Source(VECTORS.name, VECTORS.id_col, VECTORS.numeric, (), "label", 3, VECTORS.frame, VECTORS.sql, ((0, 1), (2, 3), (0, 1, 2, 3)))
+#: All elements in sets of four neighbours.
+VECTOR_ROWS = Source(VECTORS.name, VECTORS.id_col, VECTORS.numeric, (), "label", 3, VECTORS.frame, VECTORS.sql, tuple(tuple(range(i, i + 4)) for i in range(0, WIDTH, 4)))
 
 
 def _cnc(spark: SparkSession, sf_dir: str) -> tuple[CNClassifier, Dataset]:
@@ -551,6 +613,14 @@ def cnc_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("b0", "b1", "b2", "label", "n", _r(F.col("n") / F.array_max("h")).alias("share"))
 
 
+@query(f"{_proba_ctes(VECTOR_ROWS, 10)}, y AS (SELECT vec_id, label FROM q) SELECT p.class::INT AS class, place::INT AS place, round(avg((p - (label = p.class)::INT) * score), 7) AS gradient FROM p JOIN y ON p.id = vec_id JOIN c ON c.id = p.id GROUP BY ALL")
+def cnc_gradient_fixed_w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivative of the mean cross-entropy over the training rows."""
+    model, _ = _cnc(spark, sf_dir)
+    gradient = model.loss_and_gradient(model.weights)[1]
+    return spark.createDataFrame([(c, k, round(float(x), 7) + 0.0) for c, row in enumerate(gradient) for k, x in enumerate(row)], "class int, place int, gradient double")
+
+
 @query()
 def cnc_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = VECTOR_ROWS.data(spark, sf_dir)
@@ -562,19 +632,17 @@ def cnc_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, (o_orderkey % 4)::INT AS fold FROM orders")
 def kfold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(4)).cast("int").alias("fold"))
+    return ORDERS.data(spark, sf_dir).folds(4, order=F.col("o_orderkey")).select("o_orderkey", "fold")
 
 
 @query("SELECT o_orderkey, o_orderstatus, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 4)::INT AS fold FROM orders")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks by key, so that SQL can say the same; ``Dataset.folds`` ranks by a hash."""
-    from .sources.dataset import stratified_folds
-
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return stratified_folds(df, "o_orderstatus", F.col("o_orderkey"), "o_orderkey", 4)
+    data = Dataset(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_orderkey", ("o_totalprice",), label="o_orderstatus")
+    return data.folds(4, stratified=True, order=F.col("o_orderkey")).select("o_orderkey", "o_orderstatus", "fold")
 
 
-@query()
+@query("SELECT o_orderkey, (('0x' || substr(md5(o_orderkey || ':42'), 1, 15))::BIGINT % 4)::INT AS fold FROM orders")
 def kfold_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ORDERS.data(spark, sf_dir).folds(4).select("o_orderkey", "fold")
 
