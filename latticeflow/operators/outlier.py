@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -41,6 +41,7 @@ class _Base:
     full: bool = True
     selector: Selector | None = None
     closures: Closures | None = field(default=None, repr=False)
+    suggested: list[FeatureSet] = field(default_factory=list, repr=False)
 
     def __post_init__(self) -> None:
         if self.quantizer != "uniform":
@@ -50,11 +51,25 @@ class _Base:
         self.selector = self.selector or ConfigurableSelector(self.singletons, self.doubletons, self.full)
 
     def _sets(self, data: Dataset) -> list[FeatureSet]:
-        sets = EXPLORERS[self.explorer](self.selector(len(data.features)))
+        sets = [*self.selector(len(data.features)), *self.suggested]
         if len({*sets}) > 2000:
             log.warning("%d feature sets: rows times sets are looked up; doubletons=False has fewer", len(sets))
         return sets
 
+    def _explored(self, train: Callable[[], Sequence[float]]) -> None:
+        """Trains, and again with what the explorer suggests, until that is nothing. ``train`` returns the sets' weights."""
+        self.suggested, start = [], 0
+        while True:
+            weights = train()
+            known = self.feature_sets
+            new = [tuple(sorted({*s})) for s in EXPLORERS[self.explorer](self._fitted().features, start, [*known], weights)]
+            if not new:
+                return
+            if any(not s or not 0 <= s[0] <= s[-1] < self._fitted().features for s in new):
+                raise ValueError("the explorer suggests a set of unknown features")
+            start = len(known)
+            self.suggested += new
+
     def _fitted(self) -> Closures:
         if self.closures is None:
             raise ValueError("the model isn't fitted")
@@ -73,7 +88,7 @@ class _Base:
 
     def set(self, name: str, value: Any) -> None:
         """Changes a parameter; it counts from the next fit on."""
-        if name not in self.__dataclass_fields__ or name == "closures":
+        if name not in self.__dataclass_fields__ or name in ("closures", "suggested"):
             raise ValueError(f"no parameter {name!r}")
         setattr(self, name, value)
         if name in ("singletons", "doubletons", "full"):
@@ -117,7 +132,13 @@ class UODModel(_Base):
 
     def fit(self, data: Any, **roles: Any) -> UODModel:
         data = load_data(data, **roles)
-        self.closures = build(data, fit_quantizer(data, self.n), self._sets(data), {"n": F.lit(1)})
+        quantizer = fit_quantizer(data, self.n)
+
+        def train() -> list[float]:
+            self.closures = build(data, quantizer, self._sets(data), {"n": F.lit(1)})
+            return [1.0] * len(self.feature_sets)
+
+        self._explored(train)
         return self
 
     def degrees(self, data: Any, **roles: Any) -> DataFrame:
@@ -195,11 +216,18 @@ class SODModel(_Base):
         return OutlierLoss(inliers, outliers, (inliers.k + outliers.k) / outliers.k)
 
     def fit(self, data: Any, **roles: Any) -> SODModel:
-        self.fit_closures(data, **roles)
-        loss = self.statistics()
-        descent = GradientDescent(loss.loss, lambda w: loss.gradient(w, self.gradient), len(self.feature_sets), self.learning_rate, self.momentum, self.stop_threshold, self.seed)
-        self.epochs_run = descent.train(self.epochs, self.show_training)
-        return self.set_weights(descent.weights)
+        data = load_data(data, **roles)
+
+        def train() -> list[float]:
+            self.fit_closures(data)
+            loss = self.statistics()
+            descent = GradientDescent(loss.loss, lambda w: loss.gradient(w, self.gradient), len(self.feature_sets), self.learning_rate, self.momentum, self.stop_threshold, self.seed)
+            self.epochs_run = descent.train(self.epochs, self.show_training)
+            self.set_weights(descent.weights)
+            return [*map(float, descent.weights)]
+
+        self._explored(train)
+        return self
 
     def set_weights(self, weights: Any) -> SODModel:
         w = np.asarray(weights, float)

@@ -44,8 +44,10 @@ class ConfigurableSelector:
         return sets
 
 
-#: Names for explorers of further feature sets; "none" adds nothing after the start.
-EXPLORERS: dict[str, Callable[[list[FeatureSet]], list[FeatureSet]]] = {"none": lambda sets: sets}
+#: Explorers suggest further feature sets once a model is trained: from the number of features, the place of the first set
+#: that came last, all sets so far, and their weights. The model is then trained on all, until nothing is suggested.
+Explorer = Callable[[int, int, list[FeatureSet], Sequence[float]], list[FeatureSet]]
+EXPLORERS: dict[str, Explorer] = {"none": lambda features, start, sets, weights: []}
 
 
 def name_of(features: FeatureSet, names: Sequence[str]) -> str:
