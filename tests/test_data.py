@@ -19,6 +19,7 @@ from latticeflow.sources.dataset import Dataset, factorize
 from latticeflow.sources.loaders import load
 from latticeflow.streaming import scoring
 
+#: The known fixtures' table.
 FRUIT = pd.DataFrame({"diameter": [3.5, 4.5, 5.3, 6.5, 2.1], "color": ["green", "red", "green", "green", "yellow"], "delicious": ["yes", "yes", "yes", "yes", "no"]})
 
 

@@ -14,6 +14,7 @@ from latticeflow.operators.training import Gram, GradientDescent, OutlierLoss
 from latticeflow.plans.feature_sets import ConfigurableSelector
 from latticeflow.sources.loaders import load
 
+#: The known fixtures' matrices, training and test rows.
 X = np.array([[5.3, 3.2, 2.4], [3.1, 8.7, 4.2], [3.2, 8.8, 5.2], [1.2, 5.3, 8.8], [3.2, 1.2, 1.0], [9.0, 8.9, 2.0], [3.6, 1.7, 1.4], [5.6, 6.9, 2.3]])
 XC = np.array([[0], [1], [1], [0], [0], [1], [1], [0]])
 Y = np.array([0, 1, 1, 0, 0, 1, 0, 0])
