@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, map_rows
+from ._common import Scratch, documents, map_rows
 from .vocab import ModelFile
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
@@ -42,7 +42,8 @@ def count_tokens(docs: DataFrame, model: ModelFile, cache: str, *, limit: int =
     Writes the counts of texts that ``cache`` lacks before it returns.
     """
     keyed = _keyed(docs, id_col, text_col)
-    known = stored(docs, cache, model.version)
+    scratch = Scratch(docs.sparkSession, "counts")  # joins on written tables can split a digest with very many rows
+    known = scratch.put(stored(docs, cache, model.version), "known")
     missing = keyed.select("digest", "text") if known.isEmpty() else keyed.select("digest", "text").join(known, "digest", "left_anti")
     distinct = missing.groupBy("digest").agg(F.first("text").alias("text"))
 
@@ -57,6 +58,6 @@ def count_tokens(docs: DataFrame, model: ModelFile, cache: str, *, limit: int =
 
     counted = map_rows(distinct, "digest binary, n_tokens long", make)
     counted.withColumn("tokenizer", F.lit(model.version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    counts = stored(docs, cache, model.version)
+    counts = scratch.put(stored(docs, cache, model.version), "counts")
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
