@@ -145,13 +145,17 @@ class PieceEncoder(_Encoder):
         return np.flatnonzero(pc.match_substring_regex(texts, "^ |  | $|▁").to_numpy(zero_copy_only=False))
 
     def _learned(self, parts: list[str]) -> list[bytes]:
-        """One string of several parts; its ids fall apart again where a piece begins with the mark."""
+        """One string of several parts; its ids fall apart again where a piece begins with the mark.
+
+        A part that has the mark itself may join the one after it; parts beside one are encoded one by one.
+        """
         out = []
         for at in range(0, len(parts), 256):
             some = parts[at : at + 256]
-            ids = np.array(self.library.encode(" ".join(some)), self.dtype)
+            joined = " ".join(some)
+            ids = np.array(self.library.encode(joined), self.dtype)
             starts = np.flatnonzero(self._starts[ids]).tolist()
-            if len(starts) != len(some) or not all(some):
+            if len(starts) != len(some) or not all(some) or "▁" in joined:
                 out += [self.whole(x).tobytes() for x in some]
                 continue
             raw, width = ids.tobytes(), ids.itemsize
