@@ -32,6 +32,16 @@ from ._common import Scratch, cut, documents, free_name, map_batches, map_rows
 
 #: A run with as many words is removed where it comes again.
 MIN_WORDS = 50
+#: Lines that a worker hashes and returns at once: short lines take many times their bytes as rows.
+MOST_LINES = 1 << 14
+
+
+def _n_words(lines: pa.Array) -> np.ndarray:
+    parts = pc.ascii_split_whitespace(lines)
+    cuts = parts.offsets.to_numpy().astype(np.int64)
+    real = pc.not_equal(parts.flatten(), "").to_numpy(zero_copy_only=False)
+    total = np.concatenate((np.zeros(1, np.int32), np.cumsum(real, dtype=np.int32)))
+    return total[cuts[1:] - cuts[0]] - total[cuts[:-1] - cuts[0]]
 
 
 def _doc_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,30 +51,26 @@ def _doc_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def make():
         def work(batch):
             texts = pc.fill_null(batch.column("text"), "")
+            text = pa.array([xxhash.xxh3_128_digest(x) for x in texts.to_pylist()], pa.binary())
             lists = pc.split_pattern(texts, "\n")
             lines = lists.flatten()
             bounds = lists.offsets.to_numpy().astype(np.int64)
             bounds -= bounds[0]
-            parts = pc.ascii_split_whitespace(lines)
-            cuts = parts.offsets.to_numpy().astype(np.int64)
-            real = pc.not_equal(parts.flatten(), "").to_numpy(zero_copy_only=False)
-            total = np.concatenate(([0], np.cumsum(real, dtype=np.int64)))
-            words = total[cuts[1:] - cuts[0]] - total[cuts[:-1] - cuts[0]]
-            own = np.repeat(np.arange(len(texts)), np.diff(bounds))
-            number = np.arange(len(own)) - bounds[own]
-            held = np.flatnonzero(words > 0)
-            before = np.concatenate(([0], np.cumsum(words > 0)))
-            text = [xxhash.xxh3_128_digest(x) for x in texts.to_pylist()]
-            hashed = [xxhash.xxh3_128_digest(x) for x in lines.take(pa.array(held)).to_pylist()]
-            row = pa.array(own[held])
-            yield {
-                "doc_id": batch.column("doc_id").take(row),
-                "text_key": pa.array(text, pa.binary()).take(row),
-                "line": number[held].astype(np.int32),
-                "seq": (before[held] - before[bounds[own[held]]]).astype(np.int32),
-                "hash": hashed,
-                "words": words[held].astype(np.int32),
-            }
+            words = np.concatenate([_n_words(lines.slice(at, MOST_LINES)) for at in range(0, len(lines), MOST_LINES)])
+            before = np.concatenate((np.zeros(1, np.int32), np.cumsum(words > 0, dtype=np.int32)))
+            every = np.flatnonzero(words)
+            for at in range(0, len(every), MOST_LINES):
+                held = every[at : at + MOST_LINES]
+                own = np.searchsorted(bounds, held, "right") - 1  # any text has a line
+                row = pa.array(own)
+                yield {
+                    "doc_id": batch.column("doc_id").take(row),
+                    "text_key": text.take(row),
+                    "line": (held - bounds[own]).astype(np.int32),
+                    "seq": (before[held] - before[bounds[own]]).astype(np.int32),
+                    "hash": [xxhash.xxh3_128_digest(x) for x in lines.take(pa.array(held)).to_pylist()],
+                    "words": words[held],
+                }
 
         return work
 
