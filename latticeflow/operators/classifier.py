@@ -16,10 +16,12 @@ from ..sources.loaders import load as load_data
 from .closures import build, look_up
 from .outlier import _Base
 from .quantize import fit_quantizer
-from .training import GradientDescent
+from .training import SUMS, GradientDescent, merged
 
-#: Distinct training rows (scores and label) up to this number train on the driver, others on the cluster.
-LOCAL_ROWS = 50_000
+#: Distinct training rows (scores and label) up to this number, with so many scores in all, train on the driver, others on the cluster.
+LOCAL_ROWS, LOCAL_SCORES = 50_000, 8_000_000
+#: Tasks of an epoch for each core of the cluster.
+TASKS_A_CORE = 2
 
 
 @dataclass
@@ -112,7 +114,8 @@ class CNClassifier(_Base):
         """The training rows (persisted), their number, and the sums of loss and gradient at a matrix of weights."""
         rows = self._training().persist()
         n = rows.agg(F.sum("n")).first()[0]
-        if rows.count() > LOCAL_ROWS:
+        distinct = rows.count()
+        if distinct > LOCAL_ROWS or distinct * len(self.feature_sets) * len(self.classes) > LOCAL_SCORES:
             return rows, n, lambda w: _on_cluster(rows, w)
         held = rows.collect()
         parts = (np.array([r["scores"] for r in held]), np.array([r["y"] for r in held]), np.array([r["n"] for r in held], float))
@@ -157,7 +160,11 @@ def _cross_entropy(w: np.ndarray, scores: np.ndarray, y: np.ndarray, n: np.ndarr
 
 
 def _on_cluster(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """The sums of one epoch; each task returns one row."""
+    """The sums of one epoch.
+
+    A task goes through several partitions and sums them, a few tasks sum the tasks: neither the tasks of an epoch nor what
+    comes to the driver grow with the rows.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, gradient = 0.0, np.zeros_like(w)
@@ -166,7 +173,8 @@ def _on_cluster(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
                 scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 own = _cross_entropy(w, scores, batch.column("y").to_numpy(), batch.column("n").to_numpy().astype(float))
                 loss, gradient = loss + own[0], gradient + own[1]
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], names=["loss", "gradient"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(gradient, loss).tobytes()], pa.binary())], names=["k", "sums"])
 
-    parts = rows.mapInArrow(sums, "loss double, gradient binary").collect()
-    return sum(r["loss"] for r in parts), sum(np.frombuffer(bytes(r["gradient"])).reshape(w.shape) for r in parts)
+    tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    total = merged(rows.coalesce(tasks).mapInArrow(sums, SUMS))[0]
+    return float(total[-1]), total[:-1].reshape(w.shape)

@@ -22,6 +22,29 @@ class Gram:
     k: float
 
 
+#: What a task returns that sums its rows: ``sums`` are the bytes of doubles.
+SUMS = "k int, sums binary"
+#: Tasks that sum the tasks.
+MERGERS = 8
+
+
+def merged(parts: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of ``parts`` (``SUMS``) by ``k``. The driver gets those of ``MERGERS`` tasks, however many tasks ``parts`` has."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x)
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["k", "sums"])
+
+    total: dict[int, np.ndarray] = {}
+    for r in parts.repartition(MERGERS).mapInArrow(merge, SUMS).collect():
+        total[r["k"]] = total.get(r["k"], 0) + np.frombuffer(bytes(r["sums"]))
+    return total
+
+
 def gram(frame: DataFrame, degrees: str, weights: Sequence[str]) -> list[Gram]:
     """The statistics of the rows' degree vectors, under each weight column.
 
@@ -43,18 +66,7 @@ def gram(frame: DataFrame, degrees: str, weights: Sequence[str]) -> list[Gram]:
         for k, x in enumerate(total or []):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["k", "sums"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column("k").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(x)
-        for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["k", "sums"])
-
-    parts = frame.select(degrees, *weights).mapInArrow(sums, "k int, sums binary").repartition(8).mapInArrow(merge, "k int, sums binary")
-    total: dict[int, np.ndarray] = {}
-    for r in parts.collect():
-        total[r["k"]] = total.get(r["k"], 0) + np.frombuffer(bytes(r["sums"]))
+    total = merged(frame.select(degrees, *weights).mapInArrow(sums, SUMS))
     out = []
     for k in range(len(weights)):
         if k not in total:
