@@ -19,7 +19,7 @@ from .quantize import fit_quantizer
 from .training import SUMS, GradientDescent, merged
 
 #: Distinct training rows (scores and label) up to this number, with so many scores in all, train on the driver, others on the cluster.
-LOCAL_ROWS, LOCAL_SCORES = 50_000, 8_000_000
+LOCAL_ROWS, LOCAL_SCORES = 50_000, 2_000_000
 #: Tasks of an epoch for each core of the cluster.
 TASKS_A_CORE = 2
 
@@ -117,8 +117,9 @@ class CNClassifier(_Base):
         distinct = rows.count()
         if distinct > LOCAL_ROWS or distinct * len(self.feature_sets) * len(self.classes) > LOCAL_SCORES:
             return rows, n, lambda w: _on_cluster(rows, w)
-        held = rows.collect()
-        parts = (np.array([r["scores"] for r in held]), np.array([r["y"] for r in held]), np.array([r["n"] for r in held], float))
+        held = rows.toArrow().combine_chunks()
+        scores = held["scores"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(distinct, -1)
+        parts = (scores, held["y"].to_numpy(), held["n"].to_numpy().astype(float))
         return rows, n, lambda w: _cross_entropy(w, *parts)
 
     def loss_and_gradient(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
